@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, shards, simhash
+from . import decontaminate, language_bits, line_runs, ordinal, packing, shards, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,28 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.sharded(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade (0 toxic, 1 poor, 2 good), tail probabilities and selection of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.train(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
+    out = ordinal.graded(docs, model)
+    tails = F.col("quality_tails.tails")
+    return out.select("doc_id", F.col("quality_tails.expected").alias("expected_grade"), tails[0].alias("p_grade_1_up"), tails[1].alias("p_grade_2_up"), F.col("quality_tails.selected").alias("selected"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of line runs of 50 words or more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    out, _, removed = line_runs.without_repeats(docs.withColumn("n_lines", lines))
+    return out.select("doc_id", "n_lines", F.col(removed).cast("long").alias("n_removed"), "text")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learnt from two thirds of them."""
+    return language_bits.languages(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in all documents."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -40,8 +63,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_sharding, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op3_sharding, op4_quality, op5_line_dedup, op8_language_id, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_runs.ORACLE}
