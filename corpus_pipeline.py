@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelmill.llm import decontaminate, packing, simhash
+from pixelmill.llm import decontaminate, line_runs, ordinal, packing, simhash
 from pixelmill.llm.queries import table, tokenizer_path
 from pixelmill.llm.storage import written
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay whose chance of the top grade (neither toxic nor poor) is one half or more."""
+    model = ordinal.train(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
+    rated = ordinal.graded(docs, model)
+    return rated.where(F.col(rated.columns[-1])["selected"]).select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs of 50 words or more are cut; documents of which nothing is left go."""
+    out, _, removed = line_runs.without_repeats(docs)
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(line_runs.WORD)
+    return out.where((F.col(removed) == 0) | ~blank).select(docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest doc_id."""
     return simhash.one_of_each(docs)
@@ -25,6 +40,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", line_dedup),
     ("simhash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
     ("best-fit packing", packing_stage),

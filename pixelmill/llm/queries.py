@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_bits, line_runs, ordinal, packing, shards, simhash
+from pixelmill.session import ship
+
+from . import cap_filters, decontaminate, gru_lm, language_bits, licenses, line_runs, ordinal, packing, shards, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,6 +28,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All licenses and notices found in whole documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards by rendezvous hashing of doc_id."""
     return shards.sharded(table(spark, sf_dir, "documents"))
@@ -47,6 +55,16 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.col(removed).cast("long").alias("n_removed"), "text")
 
 
+def op6_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more among all embeddings, and their components."""
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and network scores of all documents, learnt from six sevenths of them."""
+    return gru_lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learnt from two thirds of them."""
     return language_bits.languages(table(spark, sf_dir, "documents"))
@@ -63,7 +81,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_sharding, op4_quality, op5_line_dedup, op8_language_id, op9_decontamination, op10_packing)}
+    return {f.__name__: f for f in (op1_simhash, op2_licenses, op3_sharding, op4_quality, op5_line_dedup, op6_near_vectors, op7_lm_scores, op8_language_id, op9_decontamination, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
