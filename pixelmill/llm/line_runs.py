@@ -109,7 +109,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lines = F.split(F.col(text), "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_lr_gone"))
     cut = F.when(F.col("_lr_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    out = docs.join(gone, F.col(key) == F.col("_lr_key"), "left").select(*[cut.alias(c) if c == text else F.col(c) for c in cols], F.coalesce(F.size("_lr_gone"), F.lit(0)).alias(count))
+    # always a shuffle join: the removed lines have no size bound
+    out = docs.join(gone.hint("shuffle_merge"), F.col(key) == F.col("_lr_key"), "left").select(*[cut.alias(c) if c == text else F.col(c) for c in cols], F.coalesce(F.size("_lr_gone"), F.lit(0)).alias(count))
     return out, key, count
 
 
