@@ -15,6 +15,7 @@ import math
 import zlib
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,13 +57,13 @@ class Vocabulary:
     def ready(self) -> None:
         if self.index is None:
             self.index = {w: i for i, w in enumerate(self.words)}
-            self.rare_of = np.array([zlib.crc32(w[:2]) % self.shape.rare for w in self.words], np.int64)
+            self.rare_of = np.array([zlib.crc32(w[:2]) % self.shape.rare for w in self.words], np.int32)
             self.prefix = {}
 
     def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(input number, place in the list or -1, words that aren't in the list) of tokens."""
         got = self.index.get
-        at = np.fromiter((got(t, -1) for t in tokens), np.int64, len(tokens))
+        at = np.fromiter(map(got, tokens, repeat(-1)), np.int32, len(tokens))
         inputs = np.where(at >= 0, at, 0)
         rare = inputs >= self.shape.words
         inputs[rare] = self.shape.words + self.rare_of[inputs[rare]]
@@ -85,6 +86,18 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return parts
 
 
+def _log_share(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray):
+    """(log of the softmax at ``own``, exponentials, their row sums)."""
+    logit = h @ weights.T
+    logit += bias
+    if len(logit) and (top := logit.max()) > 60:  # biases are logarithms of shares, so this is rare
+        logit -= np.maximum(logit.max(axis=1, keepdims=True), top - 60)
+    picked = logit[rows, own]
+    np.exp(logit, out=logit)
+    total = logit @ np.ones(logit.shape[1], logit.dtype)
+    return picked - np.log(np.maximum(total, np.float32(1e-37))), logit, total
+
+
 class Network:
     """Weights by name; inputs are rows of ``x``."""
 
@@ -112,8 +125,12 @@ class Network:
 
     def step(self, h: np.ndarray, inputs: np.ndarray):
         w, n = self.w, self.shape.hidden
-        a, g = w["x"][inputs] + w["g"], h @ w["u"]
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * n] + g[:, : 2 * n])))
+        a, g = w["x"][inputs], h @ w["u"]
+        a += w["g"]
+        zr = a[:, : 2 * n] + g[:, : 2 * n]
+        np.tanh(zr * np.float32(0.5), out=zr)  # a sigmoid is half of this, plus a half
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
         z, r = zr[:, :n], zr[:, n:]
         c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
         return c + z * (h - c), z, r, c, g[:, 2 * n :]
@@ -122,12 +139,8 @@ class Network:
         """Natural log of P(token) of each row (in a rare class: of the class); with ``grads`` also d loss / d states."""
         w, s = self.w, self.shape
         cls = self.classes_of(inputs)
-        logit = states @ w["c"].T + w["cb"]
-        logit -= logit.max(axis=1, keepdims=True)
-        e = np.exp(logit)
-        total = e.sum(axis=1)
         rows = np.arange(len(states))
-        out = logit[rows, cls] - np.log(total)
+        out, e, total = _log_share(states, w["c"], w["cb"], rows, cls)
         back = None
         if grads is not None:
             d = e / total[:, None]
@@ -146,12 +159,9 @@ class Network:
                 continue
             block = slice(k * s.in_class, (k + 1) * s.in_class)
             h, own = states[i], inputs[i] - block.start
-            logit = h @ w["o"][block].T + w["ob"][block]
-            logit -= logit.max(axis=1, keepdims=True)
-            e = np.exp(logit)
-            total = e.sum(axis=1)
-            own_rows = np.arange(len(i))
-            out[i] += logit[own_rows, own] - np.log(total)
+            own_rows = rows[: len(i)]
+            share, e, total = _log_share(h, w["o"][block], w["ob"][block], own_rows, own)
+            out[i] += share
             if grads is not None:
                 d = e / total[:, None]
                 d[own_rows, own] -= 1
@@ -378,7 +388,7 @@ def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: in
             continue
         old, new = (np.frombuffer(d, "<f4") for d in (net.packed(), data))
         steps = [old.tobytes(), ((old + new) / 2).astype("<f4").tobytes(), data]
-        net.unpack(steps[_best(docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(2 * one_in)) == 2 * one_in - 1 - k), text, words, steps)])
+        net.unpack(steps[_best(docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(4 * one_in)) == 4 * one_in - 1 - k), text, words, steps)])
     return net
 
 
@@ -432,10 +442,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
         counts1 = np.log10(v.counts + 1.0) if len(v.counts) else np.zeros(1)
         floor = math.log10(v.total + v.distinct + 1)
         rare_floor = np.log10(v.rare_mass + 1)
-        key, waiting, size = TaskContext.get().partitionId() << 33, [], 0
-
-        def out():
-            nonlocal key, waiting, size
+        key = TaskContext.get().partitionId() << 33
+        pools: dict[int, list] = {}  # documents of about one length run in step, so that few lanes end early
+        sizes: Counter = Counter()
+
+        def out(pool):
+            nonlocal key
+            waiting = pools.pop(pool)
+            sizes.pop(pool)
             sums = score_documents(own, [w[2] for w in waiting]) / LN10
             n = len(waiting)
             tails = [Counter(w[4]) for w in waiting]
@@ -452,19 +466,20 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
                 [pa.array(np.arange(key, key + n)), pa.array([w[0] for w in waiting], kinds[0]), pa.array([w[1] for w in waiting], pa.bool_()), pa.array([len(w[2]) for w in waiting], pa.int64()), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
                 names=["r", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
             )
-            key, waiting, size = key + n, [], 0
+            key += n
 
         kinds = None
         for b in batches:
             kinds = kinds or b.schema.types
             for i, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 x, at, lost = v.encode(tokens_of(t.as_py()))
-                waiting.append((i, held, x, at, lost))
-                size += len(x)
-                if size > 400_000:
-                    yield from out()
-        if waiting:
-            yield from out()
+                pool = len(x).bit_length()
+                pools.setdefault(pool, []).append((i, held, x, at, lost))
+                sizes[pool] += len(x)
+                if sizes[pool] > 300_000:
+                    yield from out(pool)
+        for pool in list(pools):
+            yield from out(pool)
 
     made = rows.mapInArrow(rate, f"r long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, k: long>>")
     made = written(made, "scored")
