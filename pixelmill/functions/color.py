@@ -209,11 +209,11 @@ CONVERSIONS: dict[str, tuple[tuple[str, ...], Callable[..., Channels]]] = {
     "nrgba64": (("r", "g", "b", "a"), to_nrgba64),
     "alpha": (("a",), to_alpha),
     "alpha16": (("a",), to_alpha16),
-    "gray": (("y",), to_gray),
-    "gray16": (("y",), to_gray16),
-    "ycbcr": (("y", "cb", "cr"), to_ycbcr),
-    "nycbcra": (("y", "cb", "cr", "a"), to_nycbcra),
-    "cmyk": (("c", "m", "y", "k"), to_cmyk),
+    "gray": (("luma",), to_gray),
+    "gray16": (("luma",), to_gray16),
+    "ycbcr": (("luma", "cb", "cr"), to_ycbcr),
+    "nycbcra": (("luma", "cb", "cr", "a"), to_nycbcra),
+    "cmyk": (("cyan", "magenta", "yellow", "key"), to_cmyk),
 }
 
 

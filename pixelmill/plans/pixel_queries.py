@@ -178,10 +178,15 @@ def _cut(v: str, n: int) -> str:
     return v if n == 1 else f"({v} // {n})"
 
 
-_BOX = Box(*(num(v) for v in (3, 5, 103, 2005)))
+def _offsets(spark: SparkSession, d: str) -> DataFrame:
+    box = Box(*(num(v) for v in (3, 5, 103, 2005)))
+    chroma = (geometry.chroma_offset("x", "y", box, 56, k).alias(f"c{k}") for k in geometry.RATIOS)
+    return fx.orders(spark, d).select(*KEYS, geometry.pixel_offset("x", "y", box, 400, 4).alias("pix"), geometry.luma_offset("x", "y", box, 112).alias("luma"), *chroma)
+
+
 add(
     "g10_offsets",
-    lambda s, d: fx.orders(s, d).select(*KEYS, geometry.pixel_offset("x", "y", _BOX, 400, 4).alias("pix"), geometry.luma_offset("x", "y", _BOX, 112).alias("luma"), *(geometry.chroma_offset("x", "y", _BOX, 56, k).alias(f"c{k}") for k in geometry.RATIOS)),
+    _offsets,
     sql("SELECT image_id, x, y, (y - 5) * 400 + (x - 3) * 4 AS pix, (y - 5) * 112 + x - 3 AS luma, " + ", ".join(f"({_cut('y', v)} - {_cut('5', v)}) * 56 + {_cut('x', h)} - {_cut('3', h)} AS c{k}" for k, (h, v) in geometry.RATIOS.items()) + " FROM px", "px"),
 )
 
