@@ -1,4 +1,8 @@
-"""A training-data pipeline over ``documents``: each stage calls one operator of ``pixelmill.llm``."""
+"""A training-data pipeline over ``documents``: each stage calls one operator of ``pixelmill.llm``.
+
+A stage's result is written and read again before the next one starts, so each stage first deletes
+what earlier ones left in the shared folder and its own input doesn't read.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,27 @@ from pyspark.sql import functions as F
 
 from pixelmill.llm import decontaminate, line_runs, ordinal, packing, simhash
 from pixelmill.llm.queries import table, tokenizer_path
-from pixelmill.llm.storage import written
+from pixelmill.llm.storage import drop, tables_of, written
+
+_EARLIER: list[str] = []
+
+
+def _next(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete tables of earlier stages."""
+    needed = tables_of(spark, docs)
+    drop(spark, [p for p in _EARLIER if p not in needed])
+    _EARLIER[:] = needed
+
+
+def _left(spark: SparkSession, out: DataFrame) -> DataFrame:
+    """``out``, whose tables go when the next stage starts."""
+    _EARLIER.extend(tables_of(spark, out))
+    return out
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents stay whose chance of the top grade (neither toxic nor poor) is one half or more."""
+    _next(spark, docs)
     model = ordinal.train(docs, ordinal.ratings(table(spark, sf_dir, "labels")))
     rated = ordinal.graded(docs, model)
     return rated.where(F.col(rated.columns[-1])["selected"]).select(docs.columns)
@@ -19,23 +39,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs of 50 words or more are cut; documents of which nothing is left go."""
+    _next(spark, docs)
     out, _, removed = line_runs.without_repeats(docs)
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(line_runs.WORD)
-    return out.where((F.col(removed) == 0) | ~blank).select(docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    kept = out.where((F.col(removed) == 0) | ~blank).select(docs.columns).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return _left(spark, kept)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    _next(spark, docs)
+    return _left(spark, simhash.one_of_each(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
+    _next(spark, docs)
     return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents and their places in sequences of at most 4096 tokens."""
+    _next(spark, docs)
     return packing.packed(docs, tokenizer_path())
 
 
@@ -55,5 +80,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = _left(spark, written(stage(spark, docs, sf_dir), name.replace(" ", "-")))
     return STAGES[-1][1](spark, docs, sf_dir)

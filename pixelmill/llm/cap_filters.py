@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import keyed, written
+from .storage import keyed, tidy, written
 
 
 @dataclass(frozen=True)
@@ -174,6 +174,7 @@ def _verify(cosine: float):
     return group
 
 
+@tidy
 def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95, together: int = 1024, recall: float = 0.995) -> DataFrame:
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 

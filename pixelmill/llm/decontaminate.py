@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidy, written
 
 #: A-Z to a-z; digits, letters and all bytes of non-ASCII characters are kept, the rest is a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -114,6 +114,7 @@ def _marked(docs: DataFrame, items: list, size: int) -> DataFrame:
     return docs.mapInArrow(scan, f"{schema}, n_words long, n_hit long, hits array<long>, items array<string>")
 
 
+@tidy
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidy, written
 
 
 def _state(df: DataFrame) -> tuple:
@@ -13,6 +13,7 @@ def _state(df: DataFrame) -> tuple:
     return row[0], row[1]
 
 
+@tidy
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 64) -> DataFrame:
     """(node, root): every node of ``links`` and the smallest node that links lead to.
 

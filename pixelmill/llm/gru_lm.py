@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidy, written
 
 #: The end token's entry in the table of counts; no word is empty.
 END = b""
@@ -332,6 +332,7 @@ def vocabulary(counts: DataFrame, shape: Shape, most: int = 1 << 18) -> tuple[Vo
     return Vocabulary([w for w, _ in top], [n for _, n in top], total, distinct, mass, shape), least
 
 
+@tidy
 def _averaged(found: DataFrame, fan: int = 16) -> bytes | None:
     """The mean of packed weights, weighted by tokens, over rounds of groups of ``fan``."""
 
@@ -417,6 +418,7 @@ def _best(docs: DataFrame, text: str, words, candidates: list[bytes]) -> int:
     return max(((r["s"], -r["k"]) for r in rows), default=(0.0, 0))[1] * -1
 
 
+@tidy
 def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape = Shape(), most: int = 1 << 18, rounds: int = 2, one_in: int = 16) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

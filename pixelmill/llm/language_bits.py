@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import tidy, written
 
 MULT = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 #: Characters worked on at once.
@@ -133,6 +133,7 @@ def counts(docs: DataFrame, lang: str, text: str, n: int) -> DataFrame:
     return found.mapInArrow(tally, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+@tidy
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", n: int = 3, least_rate: float = 2e-6, share: float = 0.25) -> Filters:
     """Filters of all documents given.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .numbering import ranked
-from .storage import free_name, keyed, written
+from .storage import free_name, keyed, tidy, written
 
 WORD = r"[^\x09-\x0D\x20]+"
 
@@ -92,6 +92,7 @@ def removed_lines(docs: DataFrame, key: str, doc_id: str, text: str, min_words:
     return gone.join(active.select("r", "i", "at"), ["r", "i"]).select("r", "at")
 
 
+@tidy
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> tuple[DataFrame, str, str]:
     """``docs`` with cut texts, a row key and the number of removed lines; the names of those two columns.
 

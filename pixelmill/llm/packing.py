@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import numbered
-from .storage import written
+from .storage import tidy, written
 
 
 @dataclass(frozen=True)
@@ -199,6 +199,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("body")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids)
 
 
+@tidy
 def packed(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", limits: Limits = Limits(), rule: str = "norm", end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """All of ``docs`` in sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 

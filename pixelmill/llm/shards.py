@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import numbered, unit_interval
-from .storage import written
+from .storage import tidy, written
 
 
 def rendezvous(key: Sequence[Column], weights: Sequence[float]) -> Column:
@@ -26,6 +26,7 @@ def rendezvous(key: Sequence[Column], weights: Sequence[float]) -> Column:
     return (F.least(*scores) if len(scores) > 1 else scores[0])["s"]
 
 
+@tidy
 def sharded(docs: DataFrame, shards: int = 8, doc_id: str = "doc_id", text: str = "text", weights: Sequence[float] | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .storage import keyed, written
+from .storage import keyed, tidy, written
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -127,28 +127,43 @@ def fingerprint_links(prints: DataFrame, fp: str, radius: int = 4, together: int
     return pairs.unionByName(spans).where(apart <= radius).distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, radius: int = 4, together: int = 512, keep: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp long, fingerprint (16 hex digits), component_id, row_key.
+def _classes(made: DataFrame, radius: int, together: int) -> DataFrame:
+    """(print, class, component_id) of each fingerprint in (doc_id, fp)."""
+    prints = written(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
+    linked = written(components(fingerprint_links(prints, "fp", radius, together), "a", "b"), "linked")
+    least = linked.join(prints, linked.node == prints.fp).groupBy("root").agg(F.min("rep").alias("least"))
+    ids = prints.join(linked, prints.fp == linked.node, "left").join(least, "root", "left")
+    return written(ids.select(F.col("fp").alias("print"), F.coalesce("root", "fp").alias("class"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "classes")
+
+
+@tidy
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, radius: int = 4, together: int = 512) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp long, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id that links of at most ``radius`` bits lead to, its own
     included.  Null and wordless texts have fingerprint 0 and are linked like any other; a null
     doc_id never is the smallest, so a component of nulls alone has a null id.  Repeated rows
-    each come back.  ``keep``: columns of ``docs`` to carry along under an ``in_`` prefix.
+    each come back.
     """
-    made = docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words, seed).alias("fp"), *(F.col(c).alias(f"in_{c}") for c in keep or ()))
-    made, key = keyed(made, "fingerprints")
-    prints = written(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
-    linked = written(components(fingerprint_links(prints, "fp", radius, together), "a", "b"), "linked")
-    least = linked.join(prints, linked.node == prints.fp).groupBy("root").agg(F.min("rep").alias("least"))
-    ids = prints.join(linked, prints.fp == linked.node, "left").join(least, "root", "left")
-    ids = written(ids.select(F.col("fp").alias("print"), F.coalesce("root", "fp").alias("class"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "classes")
+    made = written(docs.select(F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words, seed).alias("fp")), "fingerprints")
+    ids = _classes(made, radius, together)
     out = made.join(ids, made.fp == ids.print)
-    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class", F.col(key).alias("row_key"), *(f"in_{c}" for c in keep or ()))
+    return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+@tidy
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, seed: int = 42, radius: int = 4, together: int = 512) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (nulls last), of equal ones one.
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id (nulls last), of equal ones one."""
-    found = written(near_duplicates(docs, doc_id, text, keep=docs.columns, **options), "grouped")
+    Whole rows are written once and cross one exchange; all the rest is on ids and fingerprints.
+    """
+    whole = docs.select(*(F.col(c).alias(f"in_{c}") for c in docs.columns), F.col(doc_id).alias("doc_id"), fingerprint_column(F.col(text), words, seed).alias("fp"))
+    whole, key = keyed(whole, "fingerprints")
+    made = whole.select("doc_id", "fp", F.col(key).alias("row_key"))
+    ids = _classes(made, radius, together)
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("row_key").alias("r"))
-    first = written(found.groupBy("class").agg(F.min(order).alias("f")).select(F.col("f.r").alias("first_key")), "firsts")
-    return found.join(first, found.row_key == first.first_key, "left_semi").select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))
+    first = made.join(ids, made.fp == ids.print).groupBy("class").agg(F.min(order).alias("f"))
+    first = written(first.select(F.col("f.r").alias("first_key")), "firsts")
+    # always a shuffle join: the rows that stay have no size bound
+    kept = whole.join(first.hint("shuffle_merge"), F.col(key) == F.col("first_key"), "left_semi")
+    return kept.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))

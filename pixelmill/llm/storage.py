@@ -6,7 +6,9 @@ costs one re-read, never a recomputation of what came before.
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +35,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _paths(spark).append(path)
+    for paths in (_paths(spark), *_scopes()):
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -43,16 +46,60 @@ def _paths(spark: SparkSession) -> list[str]:
     return spark._llm_paths
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables written so far; call it when no result that reads them is needed. Returns their number."""
-    paths, jvm = _paths(spark), spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+_LOCAL = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    if not hasattr(_LOCAL, "scopes"):
+        _LOCAL.scopes = []
+    return _LOCAL.scopes
+
+
+def tables_of(spark: SparkSession, df) -> list[str]:
+    """Those of the tables written here that ``df`` (else nothing) still reads."""
+    if not isinstance(df, DataFrame):
+        return []
+    files = df.inputFiles()
+    held = {part for f in files for part in f.split("/") if part.startswith("llm-")}
+    return [p for p in _paths(spark) if p.rsplit("/", 1)[1] in held]
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables written here."""
+    jvm, conf, known = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), _paths(spark)
     for p in paths:
-        at = jvm.org.apache.hadoop.fs.Path(p)
-        at.getFileSystem(conf).delete(at, True)
-    n = len(paths)
-    paths.clear()
-    return n
+        if p in known:
+            at = jvm.org.apache.hadoop.fs.Path(p)
+            at.getFileSystem(conf).delete(at, True)
+            known.remove(p)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables written so far; call it when no result that reads them is needed. Returns their number."""
+    paths = list(_paths(spark))
+    drop(spark, paths)
+    return len(paths)
+
+
+def tidy(operator):
+    """An operator that deletes the tables it wrote and that its result doesn't read any more.
+
+    The result is a DataFrame, a tuple with one in front, or some other value that reads none.
+    """
+
+    @functools.wraps(operator)
+    def run(*args, **options):
+        _scopes().append([])
+        try:
+            out = operator(*args, **options)
+        finally:
+            made = _scopes().pop()
+        spark = SparkSession.getActiveSession() or next(x.sparkSession for x in (*args, *options.values()) if isinstance(x, DataFrame))
+        kept = tables_of(spark, out[0] if isinstance(out, tuple) else out)
+        drop(spark, [p for p in made if p not in kept])
+        return out
+
+    return run
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
@@ -63,7 +110,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def keyed(df: DataFrame, label: str, **extra) -> tuple[DataFrame, str]:
+def keyed(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``df`` written with a unique long per row, and that column's name.
 
     Repeated rows and repeated ids stay apart; the key is fixed once written.
