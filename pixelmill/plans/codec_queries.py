@@ -407,6 +407,9 @@ def snk13(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n,) for n in (0, 1, 255, 256, 4096, 70000)], "n long").withColumn("t", through("n")).select("n", "t.same", "t.smaller")
 
 
+add("snk13_literal_codes", lambda s, d: images.decode(images.encode(fx.orders(s, d), "gif", "paletted", ["g"], np.array([[i, i, i] for i in range(256)]), compress=False)).select(*KEYS, F.col("c1").alias("g")), sql("SELECT image_id, x, y, g FROM px", "px"))
+
+
 def _quality(q: int) -> str:
     scale = 5000 // q if q < 50 else 200 - 2 * q
     rows = ", ".join(f"({t}, {z}, {v})" for t, text in enumerate(jpeg.QUANT) for z, v in enumerate(text.split()))

@@ -209,11 +209,12 @@ def _assembled(table: pa.Table, model: str, channels: list[str], palette: np.nda
 ENCODERS = {"bmp": bmp.encode, "png": png.encode}
 
 
-def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette: np.ndarray | None = None, quality: int = 75) -> DataFrame:
+def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette: np.ndarray | None = None, quality: int = 75, compress: bool = True) -> DataFrame:
     """(image_id, content): each image of a pixel table as a file.
 
     An image is one group: its pixels meet in one task, as the formats' sequential coding needs.
-    Its rows may come in any order.  gif takes paletted pixels with ``palette`` (n, 3 or 4 bytes).
+    Its rows may come in any order.  gif takes paletted pixels with ``palette`` (n, 3 or 4 bytes);
+    without ``compress`` its codes are made in one pass over arrays.
     """
     if fmt not in ("bmp", "png", "gif", "jpeg"):
         raise ValueError(f"no such format: {fmt}")
@@ -221,7 +222,7 @@ def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette
     def write(table: pa.Table) -> pa.Table:
         image = _assembled(table, model, channels, palette)
         if fmt == "gif":
-            data = gif.encode(image.pixels[:, :, 0], palette)
+            data = gif.encode(image.pixels[:, :, 0], palette, compress)
         else:
             data = jpeg.encode(image, quality) if fmt == "jpeg" else ENCODERS[fmt](image)
         return pa.table({"image_id": pa.array([table["image_id"][0].as_py()], pa.int64()), "content": pa.array([data], pa.binary())})

@@ -108,6 +108,15 @@ def test_lzw_table_limits(n):
         assert gif.unlzw(gif.lzw(data, 8), 8, n).tobytes() == data
 
 
+@pytest.mark.parametrize("n", [0, 1, 253, 254, 255, 508, 509, 5000])
+def test_literal_codes(spark, n):
+    noise = RNG.integers(0, 256, n).astype(np.uint8).tobytes()
+    assert gif.unlzw(gif.literal(noise), 8, n).tobytes() == noise
+    palette = RNG.integers(0, 256, (256, 3))
+    data = gif.encode(NOISE[:, :, 0], palette, compress=False)
+    assert (jvm_image(spark, data) == palette[NOISE[:, :, 0]]).all()
+
+
 @pytest.mark.parametrize("kind", range(5))
 @pytest.mark.parametrize("bpp", [1, 3, 4, 8])
 def test_png_filters(kind, bpp):
