@@ -292,6 +292,32 @@ def src37(spark: SparkSession, d: str) -> DataFrame:
     return blocks.dequantised(coefficients, blocks.quant_tables(spark, 75).where("tab = 0"))
 
 
+_STEPS = ", ".join(f"({z}, {int(q)})" for z, q in enumerate(jpeg.scaled_quant(90)[0]))
+
+
+@query("src30_jpeg_tables", f"SELECT CAST(z AS BIGINT) AS z, CAST(q AS BIGINT) AS q FROM (VALUES {_STEPS}) t(z, q)")
+def src30(spark: SparkSession, d: str) -> DataFrame:
+    """Quantisation steps as a file's DQT segment has them."""
+
+    @F.pandas_udf("array<long>")
+    def steps(contents: pd.Series) -> pd.Series:
+        return pd.Series([jpeg.Decoder(bytes(c)).quant[0][jpeg.ZIGZAG].tolist() for c in contents])
+
+    files = images.encode(_smooth(spark, d), "jpeg", "gray", ["g"], quality=90)
+    return files.select(F.posexplode(steps("content")).alias("i", "q")).select(num("i").alias("z"), "q")
+
+
+@query("src32_signed_bits", sql("SELECT x, y, g AS raw, CASE WHEN g >= 128 THEN g ELSE g - 255 END AS value FROM gray", "gray"))
+def src32(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes read as eight bits whose first tells the sign."""
+
+    @F.pandas_udf("long")
+    def value(raw: pd.Series) -> pd.Series:
+        return pd.Series([jpeg.Bits(bytes([v]).replace(b"\xff", b"\xff\x00")).signed(8) for v in raw], dtype="int64")
+
+    return fx.gray(spark, d).select("x", "y", F.col("g").alias("raw"), value("g").alias("value"))
+
+
 def _restarts(p: np.ndarray) -> bytes:
     """A gray JPEG with a restart marker after every 8 by 8 block row."""
     h, w, _ = p.shape
