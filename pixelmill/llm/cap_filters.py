@@ -208,3 +208,23 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     out = rows.join(ids, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
     component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+#: The same by brute force over all pairs (DuckDB).
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), u AS (
+  SELECT vec_id, e, list_dot_product(e, e) AS s FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), l AS (
+  SELECT a.vec_id AS p, b.vec_id AS q FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND a.s > 0 AND b.s > 0
+  WHERE list_dot_product(a.e, b.e) / sqrt(a.s * b.s) >= 0.95
+), reach AS (
+  SELECT vec_id AS p, vec_id AS q FROM v UNION SELECT reach.p, l.q FROM reach JOIN l ON reach.q = l.p
+), c AS (
+  SELECT p, min(q) AS component_id FROM reach GROUP BY p
+), n AS (
+  SELECT p, count(*) AS k FROM l GROUP BY p
+)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.p = vec_id LEFT JOIN n ON n.p = vec_id
+"""

@@ -157,3 +157,20 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
 
         docs = docs.where(~hit(F.col(text).cast("binary")))
     return docs
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+#: The same with a join on windows (DuckDB).
+ORACLE = f"""
+WITH dw AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, n, array_to_string(w[i : i + n - 1], ' ') AS k
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM iw WHERE len(w) > 0)),
+dwin AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw CROSS JOIN (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT doc_id, i, n, item FROM dwin JOIN win USING (n, k)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, sha256(array_to_string(list_sort(list_distinct(list(item))), ',')) AS h FROM hit GROUP BY doc_id)
+SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM dw LEFT JOIN places ON dw.doc_id = places.doc_id LEFT JOIN found ON dw.doc_id = found.doc_id
+"""

@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_runs.ORACLE}
+    return {"op5_line_dedup": line_runs.ORACLE, "op6_near_vectors": cap_filters.ORACLE, "op9_decontamination": decontaminate.ORACLE}
