@@ -2,33 +2,47 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.color import FULL, num, sq_diff, wide
+from ..functions.color import FULL, num
 from .raster import KEYS
 
 CELLS = 1 << 15
 
 
-def canonical_palette(palette: DataFrame) -> DataFrame:
-    """(idx, pr, pg, pb, pa) on the 16-bit scale of a palette (idx, r, g, b, a) of bytes."""
-    return palette.select(num("idx").alias("idx"), *(wide(c).alias(f"p{c}") for c in "rgba"))
+def closest(colours: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """For rows of canonical channels the entry with the least squared distance, the first of equals."""
+    out = np.empty(len(colours), np.int64)
+    for at in range(0, len(colours), 4096):
+        part = colours[at : at + 4096]
+        total = np.zeros((len(part), len(entries)), np.int64)
+        for k in range(4):
+            gap = part[:, k, None] - entries[None, :, k]
+            total += (gap * gap) >> 2
+        out[at : at + 4096] = total.argmin(axis=1)
+    return out
 
 
 def nearest(colours: DataFrame, palette: DataFrame, keys: list[str]) -> DataFrame:
     """keys and idx: the palette entry with the least squared distance, the lowest index of equals.
 
-    ``colours`` has canonical r, g, b, a.  A palette has 256 entries at most, which is checked
-    before it is broadcast; rows are compared with it one by one and only the least is kept.
+    ``colours`` has canonical r, g, b, a; the palette (idx, r, g, b, a) bytes.  It has 256 entries
+    at most, which is checked as it is read; distances are worked out in Arrow batches.
     """
-    size = palette.count()
-    if size > 256:
-        raise ValueError("a palette has 256 entries at most")
-    entries = canonical_palette(palette).groupBy().agg(F.array_sort(F.collect_list(F.struct("idx", "pr", "pg", "pb", "pa"))).alias("entries"))
-    paired = colours.join(F.broadcast(entries))
-    best = F.array_min(F.transform("entries", lambda e: F.struct(sum((sq_diff(c, e[f"p{c}"]) for c in "rgba"), num(0)).alias("d"), e["idx"].alias("idx"))))
-    return paired.select(*keys, best["idx"].alias("idx"))
+    rows = palette.select("idx", *"rgba").orderBy("idx").limit(257).collect()
+    if not 0 < len(rows) <= 256:
+        raise ValueError("a palette has 1 to 256 entries")
+    names, entries = np.array([r[0] for r in rows]), np.array([r[1:] for r in rows], np.int64) * 257
+
+    @F.pandas_udf("long")
+    def find(r: pd.Series, g: pd.Series, b: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series(names[closest(np.column_stack((r, g, b, a)), entries)])
+
+    return colours.select(*keys, find(*(num(c) for c in "rgba")).alias("idx"))
 
 
 def lookup_table(spark: SparkSession, palette: DataFrame) -> DataFrame:
@@ -69,12 +83,19 @@ def indexed_by_image(image: DataFrame, palettes: DataFrame) -> DataFrame:
 
     Only the cells that an image uses are searched, once each: at most 32768 an image.
     """
-    entries = palettes.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct(num("idx").alias("idx"), *(wide(c).alias(c) for c in "rgba")))).alias("entries"))
     placed = image.select(*KEYS, cell_of("r", "g", "b").alias("cell"))
-    cells = placed.select("image_id", "cell").distinct().join(entries, "image_id")
-    level = lambda shift: F.shiftright(F.col("cell"), shift).bitwiseAND(F.lit(31).cast("long"))
-    spread = [level(s) * 2114 for s in (10, 5, 0)]  # five bits three times: 2048 + 64 + 2
-    wanted = [*spread, num(FULL)]
-    best = F.array_min(F.transform("entries", lambda e: F.struct(sum((sq_diff(w, e[c]) for w, c in zip(wanted, "rgba")), num(0)).alias("d"), e["idx"].alias("idx"))))
-    table = cells.select("image_id", "cell", best["idx"].alias("idx"))
+    cells = placed.select("image_id", "cell").distinct()
+
+    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+        cell, order = left["cell"].to_numpy(), np.argsort(right["idx"].to_numpy())
+        levels = np.column_stack([(cell >> s & 31) * 2114 for s in (10, 5, 0)] + [np.full(len(cell), FULL)])  # five bits three times
+        idx = np.empty(0, np.int64)
+        if len(order) and len(cell):
+            entries = np.column_stack([right[c].to_numpy()[order] for c in "rgba"]).astype(np.int64) * 257
+            idx = right["idx"].to_numpy()[order][closest(levels, entries)]
+        keep = left.slice(0, len(idx))
+        return pa.table({"image_id": keep["image_id"], "cell": keep["cell"], "idx": pa.array(idx, pa.int64())})
+
+    entries = palettes.select("image_id", num("idx").alias("idx"), *(num(c).alias(c) for c in "rgba"))
+    table = cells.groupBy("image_id").cogroup(entries.groupBy("image_id")).applyInArrow(find, "image_id long, cell long, idx long")
     return placed.join(table, ["image_id", "cell"]).select(*KEYS, "idx")
