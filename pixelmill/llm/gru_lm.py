@@ -351,7 +351,7 @@ def _averaged(found: DataFrame, fan: int = 16) -> bytes | None:
     return sum(np.frombuffer(r["w"], "<f4").astype(np.float64) * (r["n"] / total) for r in rows).astype("<f4").tobytes() if total else None
 
 
-def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: int = 2, one_in: int = 16, lanes: int = 32, window: int = 24, rate: float = 0.1, task_tokens: int = 400_000) -> Network:
+def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: int = 2, one_in: int = 16, lanes: int = 64, window: int = 16, rate: float = 0.1, task_tokens: int = 400_000) -> Network:
     """Rounds of local descent: each task trains from the shared weights on its documents, the means are shared.
 
     Round k takes the documents whose hash mod ``one_in`` is k, so what is learnt from grows with
@@ -478,7 +478,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
                 pool = len(x).bit_length()
                 pools.setdefault(pool, []).append((i, held, x, at, lost))
                 sizes[pool] += len(x)
-                if sizes[pool] > 300_000:
+                if sizes[pool] > 500_000:
                     yield from out(pool)
         for pool in list(pools):
             yield from out(pool)
