@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelmill.llm import decontaminate, line_runs, ordinal, packing, simhash
+from pixelmill.llm import decontaminate, line_runs, near_sets, ordinal, packing
 from pixelmill.llm.queries import table, tokenizer_path
 from pixelmill.llm.storage import drop, tables_of, written
 
@@ -47,9 +47,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that with the smallest doc_id."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more stays: that with the smallest doc_id."""
     _next(spark, docs)
-    return _left(spark, simhash.one_of_each(docs))
+    return _left(spark, near_sets.one_of_each(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from pixelmill.llm import graph, numbering, shards, simhash
+import corpus_pipeline
+from pixelmill.llm import graph, near_sets, numbering, shards, simhash
 
 SCHEMA = "doc_id long, text string, fp string, row_key int, component_id string"
 
@@ -109,6 +110,36 @@ def test_one_of_each(spark):
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted({p or 0 for p in parts})
 
 
+def test_near_dedup_stage_reaches_its_similarity(spark):
+    """Planted copies from 0.7 up: every link of 0.8 or more counts, none below, against brute force."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = [(None, "lost id"), (3, None), (4, ""), (5, " \n"), (6, "one"), (7, "ONE"), (8, "a b c d"), (8, "a b c d"), (9, "a b c e")]
+    for g in range(80):
+        base = [word() for _ in range(rng.choice([60, 150, 400]))]
+        rows.append((1000 + 10 * g, " ".join(base)))
+        for c in range(1, 3):
+            text = list(base)
+            for _ in range(max(1, int(len(base) * rng.uniform(0.003, 0.035)))):
+                text[rng.randrange(len(text))] = word()
+            rows.append((1000 + 10 * g + c, " ".join(text) + " all of this line is shared by many"))
+
+    def five(text):
+        w = (text or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [five(t) for _, t in rows]
+    alike = lambda i, j: len(sets[i] & sets[j]) * 5 >= 4 * len(sets[i] | sets[j])
+    near = [(i, j) for i, j in combinations(range(len(rows)), 2) if sets[i] and alike(i, j) and sets[i] != sets[j]]
+    wide = [(i, j) for i, j in near if (plain_fingerprint(rows[i][1]) ^ plain_fingerprint(rows[j][1])).bit_count() > 4]
+    assert len(wide) > 20  # most would be lost by the fingerprints alone
+    parts = plain_components([i for i, _ in rows], alike)
+    kept = corpus_pipeline.near_dedup(spark, table(spark, rows), "")
+    assert kept.columns == ["doc_id", "text", "fp", "row_key", "component_id"]
+    assert sorted(r["doc_id"] or 0 for r in kept.collect()) == sorted({p or 0 for p in parts})
+    assert near_sets.one_of_each(table(spark, [])).count() == 0
+
+
 def test_empty_tables(spark):
     none = table(spark, [])
     assert simhash.near_duplicates(none).count() == 0
