@@ -1,12 +1,14 @@
 """License scans by conditional compression.
 
-A block of text that repeats a license's wording compresses far better with that license as a
+A stretch of text that repeats a license's wording compresses far better with that license as a
 zstandard raw dictionary than without.  Blocks around licensing words are the candidates; the
-templates with the largest reductions are compared word by word, and the differences decide.
+templates whose words a block holds are compared word by word, and the differences decide.
+Where confirmed stretches overlap, the one with the largest reduction stays.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,37 +38,37 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-ANCHOR = regex.compile(rb"(?i)licen[cs]|copyright|permission is|rights reserved|redistribut|public domain|mozilla public|creative commons|\bcc by\b")
+#: Licensing words; a line break and a comment's prefix may lie between two.
+ANCHOR = regex.compile(rb"(?i)licen[cs]|copyright|permission[^a-z0-9]+is|rights[^a-z0-9]+reserved|redistribut|public[^a-z0-9]+domain|mozilla[^a-z0-9]+public|creative[^a-z0-9]+commons|\bcc[^a-z0-9]+by\b")
 WORD = regex.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
-#: Lines without a licensing word that a block may bridge, and bytes of a block; longer ones are cut with an overlap.
-BRIDGE, BLOCK = 2, 8192
+#: Words compared at once; longer blocks are cut with an overlap of half.
+WINDOW = 4096
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def blocks(text: bytes) -> Iterator[tuple[int, int]]:
-    """(start, end) bytes of candidate blocks: whole lines with a licensing word, bridged over a few without."""
+RUN = regex.compile(rb"(?i)[a-z0-9]+(?:\.[0-9]+)*")
+
+
+def blocks(text: bytes, reach: int) -> Iterator[tuple[int, int]]:
+    """(start, end) bytes of candidate blocks: licensing words and ``reach`` words on both sides, whatever the lines."""
+    anchors = [(m.start(), m.end()) for m in ANCHOR.finditer(text)]
+    if not anchors:
+        return
+    words = np.array([m.span() for m in RUN.finditer(text)], np.int64)
     first = last = None
-    for m in ANCHOR.finditer(text):
-        a, b = text.rfind(b"\n", 0, m.start()) + 1, text.find(b"\n", m.end())
-        b = len(text) if b < 0 else b
-        if last is not None and text.count(b"\n", last, max(last, a)) <= BRIDGE + 1:
-            last = max(b, last)
+    for a, b in anchors:  # words that the licensing word touches, then as many as the reach
+        i = max(0, int(np.searchsorted(words[:, 1], a, "right")) - reach)
+        j = min(len(words), int(np.searchsorted(words[:, 0], b)) + reach)
+        if last is not None and i <= last:
+            last = j
             continue
         if last is not None:
-            yield first, last
-        first, last = a, b
-    if last is not None:
-        yield first, last
-
-
-def _cut(start: int, end: int) -> Iterator[tuple[int, int]]:
-    while end - start > BLOCK:
-        yield start, start + BLOCK
-        start += BLOCK // 2
-    yield start, end
+            yield int(words[first, 0]), int(words[last - 1, 1])
+        first, last = i, j
+    yield int(words[first, 0]), int(words[last - 1, 1])
 
 
 def differences(block: list[str], template: list[str]) -> tuple[int, int, int, list[str]]:
@@ -104,54 +106,62 @@ class Match:
     reduction: float
     edits: int
     exact: bool
+    first: int
+    end: int
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, str], tolerance: float = 0.1, tried: int = 4, most: int = 100_000):
+    def __init__(self, templates: dict[str, str], tolerance: float = 0.1):
         self.plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
-        self.names = sorted(templates)
-        self.words = {k: words_of(templates[k]) for k in self.names}
-        self.given = {k: self._compressor(templates[k]) for k in self.names}
-        self.tolerance, self.tried, self.most, self.seen = tolerance, tried, most, {}
+        self.words = {k: w for k in sorted(templates) if (w := words_of(templates[k]))}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
+        self.given = {k: self._compressor(templates[k]) for k in self.words}
+        self.tolerance = tolerance
+        #: Words that a stretch may lie away from a licensing word in it.
+        self.reach = max((int((1 + tolerance) * len(w)) + 1 for w in self.words.values()), default=1)
 
     @staticmethod
     def _compressor(text: str) -> zstandard.ZstdCompressor:
         held = zstandard.ZstdCompressionDict(" ".join(words_of(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         return zstandard.ZstdCompressor(level=19, dict_data=held, write_content_size=False)
 
-    def matches(self, block: bytes) -> list[Match]:
-        """Confirmed licenses of a block, longest template first; each stretch of words tells one."""
-        found = self.seen.get(block)
-        if found is None:
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            found = self.seen[block] = self._matches(block)
-        return found
-
-    def _matches(self, block: bytes) -> list[Match]:
-        words = words_of(block.decode("utf-8", "replace"))
-        body = " ".join(words).encode()
-        if not words:
-            return []
-        alone = len(self.plain.compress(body))
-        gain = {k: alone - len(self.given[k].compress(body)) for k in self.names}
-        # templates of one length compete; a long one gains more bytes than a notice in the same block
-        best = sorted(self.names, key=lambda k: (-gain[k] / len(" ".join(self.words[k])), k))[: self.tried]
-        best += [k for k in sorted(self.names, key=lambda k: (-gain[k], k))[: self.tried] if k not in best]
-        rated = []
-        for k in best:
-            if gain[k] <= 0 or not self.words[k]:
+    def matches(self, words: list[str]) -> list[Match]:
+        """Confirmed licenses of a block by their first word; each stretch of words tells one.
+
+        What lies before, between and after confirmed stretches is searched again until nothing is confirmed.
+        """
+        out, open_parts = [], [(0, len(words))]
+        while open_parts:
+            start, stop = open_parts.pop()
+            rated = []
+            for at in range(start, max(start + 1, stop - WINDOW // 2), WINDOW // 2):
+                rated += self._confirmed(words, at, min(stop, at + WINDOW))
+            kept: list[Match] = []
+            for _, _, x in sorted(rated, key=lambda r: (r[0], r[1], r[2].license, r[2].first)):
+                if all(x.end <= y.first or x.first >= y.end for y in kept):
+                    kept.append(x)
+            if kept:
+                edges = [start, *(e for x in sorted(kept, key=lambda x: x.first) for e in (x.first, x.end)), stop]
+                open_parts += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+                out += kept
+        return sorted(out, key=lambda x: x.first)
+
+    def _confirmed(self, words: list[str], start: int, stop: int) -> list[tuple[int, int, Match]]:
+        """(-bytes saved, edits, match) of the best stretch of each template in words[start:stop]."""
+        part, out = words[start:stop], []
+        have = Counter(part)
+        for k, template in self.words.items():
+            allowed = int(self.tolerance * len(template))
+            if sum((self.counts[k] - have).values()) > allowed:  # each word that isn't there is an edit
                 continue
-            edits, first, end, lost = differences(words, self.words[k])
-            allowed = int(self.tolerance * len(self.words[k]))
+            edits, first, end, lost = differences(part, template)
             versions = any(any(ch.isdigit() for ch in w) for w in lost)  # another version is another license
-            if edits <= allowed and not versions:
-                rated.append((-(len(self.words[k]) - edits), edits, k, first, end))
-        taken, out = np.zeros(len(words), bool), []
-        for _, edits, k, first, end in sorted(rated):
-            if not taken[first:end].any():
-                taken[first:end] = True
-                out.append(Match(k, gain[k] / alone, edits, edits == 0))
+            if edits > allowed or versions:
+                continue
+            body = " ".join(part[first:end]).encode()
+            alone = len(self.plain.compress(body))
+            gain = alone - len(self.given[k].compress(body))
+            out.append((-gain, edits, Match(k, gain / alone, edits, edits == 0, start + first, start + end)))
         return out
 
 
@@ -159,9 +169,9 @@ _MATCHERS: dict = {}
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, tolerance: float = 0.1) -> DataFrame:
-    """One row for each license found: doc_id, start, length (characters of the block), license, reduction, edits, exact.
+    """One row for each license found: doc_id, start, length (characters of the lines that hold it), license, reduction, edits, exact.
 
-    Whole texts are scanned.  reduction: share of the block's compressed size that the template
+    Whole texts are scanned.  reduction: share of the stretch's compressed size that the template
     saves.  A license is confirmed if at most ``tolerance`` of the template's words differ and no
     version number does.  Null and empty texts and texts without a licensing word give no row;
     repeated rows each give theirs.
@@ -175,13 +185,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
             _MATCHERS[key] = Matcher(templates, tolerance)
         m, out = _MATCHERS[key], []
         for t in texts:
-            rows, seen = [], set()
-            for start, end in blocks(t) if t else ():
-                for a, b in _cut(start, end):
-                    for x in m.matches(t[a:b]):
-                        if (x.license, start) not in seen:  # an overlap tells the same again
-                            seen.add((x.license, start))
-                            rows.append((len(t[:start].decode("utf-8", "replace")), len(t[start:end].decode("utf-8", "replace")), x.license, x.reduction, x.edits, x.exact))
+            rows = []
+            for start, end in blocks(t, m.reach) if t else ():
+                spans = [w.span() for w in RUN.finditer(t, start, end)]
+                for x in m.matches([t[a:b].decode().lower() for a, b in spans]):
+                    a, b = t.rfind(b"\n", 0, spans[x.first][0]) + 1, t.find(b"\n", spans[x.end - 1][1])
+                    b = len(t) if b < 0 else b
+                    rows.append((len(t[:a].decode("utf-8", "replace")), len(t[a:b].decode("utf-8", "replace")), x.license, x.reduction, x.edits, x.exact))
             out.append(rows)
         return pd.Series(out)
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -316,6 +317,19 @@ def test_license_scan(spark):
     assert licenses.scan(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("width,prefix", [(70, ""), (80, ""), (75, "# "), (75, " * "), (72, "// ")])
+def test_wrapped_licenses(spark, width, prefix):
+    docs, names = [], sorted(licenses.TEMPLATES)
+    for i, k in enumerate(names):
+        lines = textwrap.wrap(licenses.TEMPLATES[k], width - len(prefix))
+        docs.append((i, "plain words of prose\n" * 90 + "\n".join(prefix + x for x in lines) + "\nmore words of prose" * 90))
+    got = licenses.scan(table(spark, docs)).collect()
+    assert sorted((r["doc_id"], r["license"], r["exact"]) for r in got) == [(i, k, True) for i, k in enumerate(names)]
+    for r in got:
+        text = dict(docs)[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert licenses.words_of(text.replace("\n" + prefix, "\n")) == licenses.words_of(licenses.TEMPLATES[r["license"]])
+
+
 def test_differences_against_plain_search():
     def edits(a, b):
         row = list(range(len(b) + 1))
