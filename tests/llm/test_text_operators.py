@@ -330,6 +330,19 @@ def test_wrapped_licenses(spark, width, prefix):
         assert licenses.words_of(text.replace("\n" + prefix, "\n")) == licenses.words_of(licenses.TEMPLATES[r["license"]])
 
 
+def test_all_licenses_of_a_block(spark):
+    names, rng = sorted(licenses.TEMPLATES), random.Random(2)
+    notices = [k for k in names if k.endswith("notice") or k == "all-rights-reserved"]
+    full = [k for k in names if k not in notices]
+    docs = [(i, "\n".join(licenses.TEMPLATES[k] for k in ks)) for i, ks in enumerate((notices, full, names, names[::-1], notices * 2))]
+    prose = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    docs += [(10 + i, f"{prose(600)} {licenses.TEMPLATES[k]} {prose(600)}") for i, k in enumerate(names)]
+    docs.append((50, f"{licenses.TEMPLATES['MIT']} " * 120))  # longer than one window
+    got = Counter((r["doc_id"], r["license"]) for r in licenses.scan(table(spark, docs)).collect() if r["exact"])
+    want = [(i, k) for i, ks in enumerate((notices, full, names, names[::-1], notices * 2)) for k in ks]
+    assert got == Counter(want + [(10 + i, k) for i, k in enumerate(names)] + [(50, "MIT")] * 120)
+
+
 def test_differences_against_plain_search():
     def edits(a, b):
         row = list(range(len(b) + 1))
