@@ -351,15 +351,15 @@ def _averaged(found: DataFrame, fan: int = 16) -> bytes | None:
     return sum(np.frombuffer(r["w"], "<f4").astype(np.float64) * (r["n"] / total) for r in rows).astype("<f4").tobytes() if total else None
 
 
-def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: int = 2, one_in: int = 16, lanes: int = 64, window: int = 16, rate: float = 0.1, task_tokens: int = 400_000) -> Network:
+def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: int = 2, one_in: int | None = None, lanes: int = 64, window: int = 16, rate: float = 0.1, task_tokens: int = 400_000) -> Network:
     """Rounds of local descent: each task trains from the shared weights on its documents, the means are shared.
 
-    Round k takes the documents whose hash mod ``one_in`` is k, so what is learnt from grows with
-    the corpus at every size; tasks get about ``task_tokens`` tokens each, so they don't grow.
-    After a round the whole step, half of it or none is taken, whichever scores the documents of
-    another hash best: the network is never worse there than the unigram model it starts from.
+    Round k takes the documents whose hash mod ``one_in`` (``rounds`` if None) is k, so the rounds
+    together pass over all of them; tasks get about ``task_tokens`` tokens each, so they don't grow.  After a round
+    the whole step, half of it or none is taken, whichever scores one in 64 of the documents best
+    that the round left out (all of these if the slice has none, and the round's own if it took all).
     """
-    net, spark = Network(vocab), docs.sparkSession
+    net, spark, one_in = Network(vocab), docs.sparkSession, one_in or rounds
     words = spark.sparkContext.broadcast(vocab)  # a bounded list of words
     for k in range(rounds):
         start = spark.sparkContext.broadcast(net.packed())
@@ -382,44 +382,50 @@ def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: in
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([own.packed()], pa.binary())], names=["part", "n", "w"])
 
-        some = docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(one_in)) == k).select(F.col(text).cast("binary").alias("t"))
+        mine = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(one_in)) == k
+        some = docs.where(mine).select(F.col(text).cast("binary").alias("t"))
         some = some.repartition(1 + vocab.total // (one_in * task_tokens))
         data = _averaged(some.mapInArrow(local, "part long, n long, w binary"))
         if not data:
             continue
         old, new = (np.frombuffer(d, "<f4") for d in (net.packed(), data))
         steps = [old.tobytes(), ((old + new) / 2).astype("<f4").tobytes(), data]
-        net.unpack(steps[_best(docs.where(F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(4 * one_in)) == 4 * one_in - 1 - k), text, words, steps)])
+        slice_ = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(k)), F.lit(64)) == 0
+        for rated in (docs.where(~mine & slice_), docs.where(~mine), docs):
+            if (best := _best(rated, text, words, steps)) is not None:
+                break
+        net.unpack(steps[best])
     return net
 
 
-def _best(docs: DataFrame, text: str, words, candidates: list[bytes]) -> int:
-    """The packed weights under which the documents are the most probable."""
+def _best(docs: DataFrame, text: str, words, candidates: list[bytes]) -> int | None:
+    """The packed weights under which the documents are the most probable; None without documents."""
     shipped = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def rate(batches):
         v = words.value
         v.ready()
-        nets, sums, waiting, size = [], [0.0] * len(shipped.value), [], 0
+        nets, sums, waiting, size, some = [], [0.0] * len(shipped.value), [], 0, False
         for data in shipped.value:
             nets.append(Network(v))
             nets[-1].unpack(data)
         for b in batches:
             for t in b.column(0):
                 waiting.append(v.encode(tokens_of(t.as_py()))[0])
-                size += len(waiting[-1])
+                size, some = size + len(waiting[-1]), True
                 if size > 200_000:
                     sums = [s + score_documents(n, waiting).sum() for s, n in zip(sums, nets)]
                     waiting, size = [], 0
         sums = [s + score_documents(n, waiting).sum() for s, n in zip(sums, nets)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "s"])
+        if some:
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "s"])
 
     rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(rate, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
-    return max(((r["s"], -r["k"]) for r in rows), default=(0.0, 0))[1] * -1
+    return -max((r["s"], -r["k"]) for r in rows)[1] if rows else None
 
 
 @tidy
-def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape = Shape(), most: int = 1 << 18, rounds: int = 2, one_in: int = 16) -> DataFrame:
+def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: Shape = Shape(), most: int = 1 << 18, rounds: int = 2, one_in: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words and one end; a null or empty text is the end alone.  base_score: sum of

@@ -237,6 +237,19 @@ def test_scores(spark):
     assert gru_lm.scores(table(spark, [])).count() == 0
 
 
+def test_rounds_pass_over_all_training_documents(spark, monkeypatch):
+    rng, seen, averaged = random.Random(3), [], gru_lm._averaged
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 30)))) for i in range(200)]
+
+    def tallied(found):
+        seen.append(found.agg({"n": "sum"}).first()[0])
+        return averaged(found)
+
+    monkeypatch.setattr(gru_lm, "_averaged", tallied)
+    got = gru_lm.scores(table(spark, docs), shape=gru_lm.Shape(8, 64, 16, 8), most=60).collect()
+    assert sum(seen) == got[0]["train_tokens"] == sum(r["n_tokens"] for r in got if not r["held_out"])
+
+
 def test_network_is_a_distribution():
     shape = gru_lm.Shape(4, 8, 4, 3)
     words = [b"", *(b"w%d" % i for i in range(11))]
