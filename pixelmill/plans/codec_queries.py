@@ -74,6 +74,17 @@ def src03(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("src04_decode", lambda s, d: images.decode(_files(s, d).where("image_id <= 2")).select(*KEYS, "format", "model", *RGBA), sql("SELECT CAST(i AS BIGINT) AS image_id, x, y, f AS format, 'rgba' AS model, r * 257 AS r, g * 257 AS g, b * 257 AS b, CAST(65535 AS BIGINT) AS a FROM px CROSS JOIN (VALUES (1, 'bmp'), (2, 'png')) t(i, f)", "px"))
+@query("src04_decode_all", sql("SELECT CAST(i AS BIGINT) AS image_id, f AS format, (SELECT count(*) FROM px) AS n, true AS close FROM (VALUES (1, 'bmp'), (2, 'png'), (3, 'gif'), (4, 'jpeg')) t(i, f)", "px"))
+def src04_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of all four files; BMP, PNG and GIF exact, JPEG by its mean error of luma."""
+    want = _opaque(spark, d).select("x", "y", *(F.col(c).alias("want_" + c) for c in "rgb"))
+    both = images.decode(_files(spark, d)).join(want, ["x", "y"])
+    luma = F.col("want_r") * 0.299 + F.col("want_g") * 0.587 + F.col("want_b") * 0.114
+    rgba = F.greatest(*(F.abs(F.col(c) - F.col("want_" + c) * 257) for c in "rgb"))
+    off = F.when(F.col("format") == "jpeg", F.abs(F.col("c1") - luma)).when(F.col("format") == "gif", F.abs(F.col("c1") - F.col("want_g"))).otherwise(rgba)
+    return both.groupBy("image_id", "format").agg(F.count("*").alias("n"), F.max(off).alias("worst"), F.avg(off).alias("mean")).select("image_id", "format", "n", F.when(F.col("format") == "jpeg", F.col("mean") <= 8).otherwise(F.col("worst") == 0).alias("close"))
+
+
 _CONFIGS = sql(f"SELECT CAST(i AS BIGINT) AS image_id, f AS format, m AS color_model, CAST(100 AS BIGINT) AS width, (SELECT max(y) + 1 FROM px) AS height FROM {_NAMES}", "px")
 add("src05_configs", lambda s, d: images.configs(_files(s, d)), _CONFIGS)
 
@@ -458,7 +469,20 @@ _TILED = sql("SELECT px.image_id, tx // 8 AS bx, ty // 8 AS by, tx % 8 AS u, ty
 @query("snk20_tiles", _TILED.replace("max(y) + 1 FROM px WHERE y < 20", "least(20, max(y) + 1) FROM px").replace("max(y) FROM px WHERE y < 20", "least(19, max(y)) FROM px"))
 def snk20(spark: SparkSession, d: str) -> DataFrame:
     px = fx.orders(spark, d).where("y < 20")
-    return blocks.tiles(px, 100, 20 if not d.endswith("sf0.001") else 15, ["r"])
+    return blocks.tiles(px, 100, _height(px), ["r"])
+
+
+def _height(px: DataFrame) -> int:
+    return px.agg(F.max("y")).first()[0] + 1
+
+
+def _whole_tiles(s: SparkSession, d: str) -> DataFrame:
+    px = fx.orders(s, d)
+    return blocks.tiles(px, 100, _height(px), ["r"])
+
+
+_WHOLE = _TILED.replace(" WHERE y < 20", "")
+add("snk20_tiles_whole", _whole_tiles, _WHOLE)
 
 
 add("snk21_halve", lambda s, d: blocks.halved(fx.orders(s, d), "r"), sql("SELECT image_id, x // 2 AS x, y // 2 AS y, CAST((sum(r) + 2) // 4 AS BIGINT) AS r FROM px GROUP BY ALL", "px"))
@@ -484,6 +508,22 @@ def dct2(spark: SparkSession, d: str) -> DataFrame:
     return cells.select((F.col("bx") * 8 + F.col("i") % 8).alias("x"), (F.col("by") * 8 + F.floor(F.col("i") / 8)).alias("y"), F.round("v").cast("long").alias("r"))
 
 
+def _whole_blocks(s: SparkSession, d: str) -> DataFrame:
+    return blocks.gathered(_whole_tiles(s, d), "r").withColumn("block", F.col("block").cast("array<double>"))
+
+
+add("dct1_forward_whole", lambda s, d: blocks.transform(_whole_blocks(s, d), "block", "forward").select("bx", "by", F.round(F.col("block")[0] * 8).cast("long").alias("dc8")), f'SELECT bx, "by", CAST(sum(r) AS BIGINT) AS dc8 FROM ({_WHOLE}) GROUP BY ALL')
+
+
+@query("dct2_round_trip_whole", sql("SELECT x, y, r FROM px", "px"))
+def dct2_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All blocks of the raster through both transforms, without the repeated edges."""
+    back = blocks.transform(blocks.transform(_whole_blocks(spark, d), "block", "forward"), "block", "inverse")
+    cells = back.select("bx", "by", F.posexplode("block").alias("i", "v"))
+    cells = cells.select((F.col("bx") * 8 + F.col("i") % 8).alias("x"), (F.col("by") * 8 + F.floor(F.col("i") / 8)).alias("y"), F.round("v").cast("long").alias("r"))
+    return cells.where((F.col("x") < 100) & (F.col("y") < _height(fx.orders(spark, d))))
+
+
 @query("dct3_basis")
 def dct3(spark: SparkSession, d: str) -> DataFrame:
     """(k, n, w): the weights of the one-dimensional transform."""
