@@ -86,15 +86,19 @@ def unpredicted(deltas: DataFrame, kind: str) -> DataFrame:
 def _transformed(blocks: pd.Series, work) -> pd.Series:
     if not len(blocks):
         return pd.Series([], dtype=object)
-    x = np.array([np.asarray(b, np.float64) for b in blocks]).reshape(-1, 8, 8)
-    return pd.Series(list(work(x).reshape(-1, 64)))
+    x = np.array([np.asarray(b, np.int64) for b in blocks]).reshape(-1, 8, 8)
+    return pd.Series(list(work(x).astype(np.int64).reshape(-1, 64)))
 
 
 def transform(blocks: DataFrame, column: str, direction: str) -> DataFrame:
-    """``column`` (64 numbers, rows of a block) through the cosine transform, ``forward`` or ``inverse``."""
+    """``column`` (64 integers, rows of a block) through the integer cosine transform.
+
+    ``forward``: samples from 0 to 255 to eight times the coefficients; ``inverse``: coefficients
+    to samples less 128.
+    """
     work = jpeg.forward if direction == "forward" else jpeg.inverse
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("array<long>")
     def run(values: pd.Series) -> pd.Series:
         return _transformed(values, work)
 

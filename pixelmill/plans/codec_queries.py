@@ -18,6 +18,7 @@ from ..sources import datasource, images, registry
 from ..sources.codecs import bmp, gif, jpeg, png
 from ..sources.codecs.base import Raster, pack_rows
 from . import fixtures as fx
+from . import jpeg_sql
 from .catalog import add, query
 from .fixtures import sql
 
@@ -73,18 +74,22 @@ def src03(spark: SparkSession, d: str) -> DataFrame:
     return fx.table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), registry.magic_column(b"1?URG", F.col("o_orderpriority").cast("binary")).alias("hit"))
 
 
-add("src04_decode", lambda s, d: images.decode(_files(s, d).where("image_id <= 2")).select(*KEYS, "format", "model", *RGBA), sql("SELECT CAST(i AS BIGINT) AS image_id, x, y, f AS format, 'rgba' AS model, r * 257 AS r, g * 257 AS g, b * 257 AS b, CAST(65535 AS BIGINT) AS a FROM px CROSS JOIN (VALUES (1, 'bmp'), (2, 'png')) t(i, f)", "px"))
-@query("src04_decode_all", sql("SELECT CAST(i AS BIGINT) AS image_id, f AS format, (SELECT count(*) FROM px) AS n, true AS close FROM (VALUES (1, 'bmp'), (2, 'png'), (3, 'gif'), (4, 'jpeg')) t(i, f)", "px"))
-def src04_all(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels of all four files; BMP, PNG and GIF exact, JPEG by its mean error of luma."""
-    want = _opaque(spark, d).select("x", "y", *(F.col(c).alias("want_" + c) for c in "rgb"))
-    both = images.decode(_files(spark, d)).join(want, ["x", "y"])
-    luma = F.col("want_r") * 0.299 + F.col("want_g") * 0.587 + F.col("want_b") * 0.114
-    rgba = F.greatest(*(F.abs(F.col(c) - F.col("want_" + c) * 257) for c in "rgb"))
-    off = F.when(F.col("format") == "jpeg", F.abs(F.col("c1") - luma)).when(F.col("format") == "gif", F.abs(F.col("c1") - F.col("want_g"))).otherwise(rgba)
-    return both.groupBy("image_id", "format").agg(F.count("*").alias("n"), F.max(off).alias("worst"), F.avg(off).alias("mean")).select("image_id", "format", "n", F.when(F.col("format") == "jpeg", F.col("mean") <= 8).otherwise(F.col("worst") == 0).alias("close"))
-
-
+_EXACT = "SELECT CAST(i AS BIGINT) AS image_id, x, y, f AS format, m AS model, {} FROM px CROSS JOIN (VALUES {}) t(i, f, m)"
+add(
+    "src04_decode",
+    lambda s, d: images.decode(_files(s, d)).select(*KEYS, "format", "model", "c1", "c2", "c3"),
+    sql(
+        " UNION ALL ".join(
+            (
+                _EXACT.format("r AS c1, g AS c2, b AS c3", "(1, 'bmp', 'rgba'), (2, 'png', 'rgba')"),
+                _EXACT.format("g AS c1, NULL AS c2, NULL AS c3", "(3, 'gif', 'paletted')"),
+                "SELECT CAST(4 AS BIGINT), x, y, 'jpeg', 'ycbcr', c1, c2, c3 FROM (" + jpeg_sql.COLOR_OUT.format("px") + ")",
+            )
+        ),
+        "px",
+        extra=jpeg_sql.color(90),
+    ),
+)
 _CONFIGS = sql(f"SELECT CAST(i AS BIGINT) AS image_id, f AS format, m AS color_model, CAST(100 AS BIGINT) AS width, (SELECT max(y) + 1 FROM px) AS height FROM {_NAMES}", "px")
 add("src05_configs", lambda s, d: images.configs(_files(s, d)), _CONFIGS)
 
@@ -242,6 +247,16 @@ def src22(spark: SparkSession, d: str) -> DataFrame:
     return _custom(fx.orders(spark, d), ["g"], _two_frames).select(images.little(c, 6, 2).alias("width"), images.little(c, 8, 2).alias("height"), F.pow(F.lit(2.0), flags % 8 + 1).cast("long").alias("colours"))
 
 
+def _with_extensions(p: np.ndarray) -> bytes:
+    """One frame between a comment of several parts, a loop count, a frame control and plain text."""
+    data = gif.encode(p[:, :, 0], np.array([[i, 255 - i, 0] for i in range(256)]))
+    start = 13 + 3 * 256
+    parts = lambda kind, *bodies: b"\x21" + bytes([kind]) + b"".join(bytes([len(b)]) + b for b in bodies) + b"\0"
+    before = parts(0xFE, b"," * 255, b"\x3b\x2c\x21" * 15) + parts(0xFF, b"NETSCAPE2.0", b"\1\0\0") + parts(0xF9, b"\4\5\0\0") + parts(1, bytes(12), b"text")
+    return data[:start] + before + data[start:-1] + parts(0xFE, b"end") + b"\x3b"
+
+
+add("src23_gif_extensions", lambda s, d: images.decode(_custom(fx.orders(s, d), ["g"], _with_extensions), max_frames=None).select(*KEYS, "frame_no", F.col("c1").alias("idx"), "r", "g"), sql("SELECT image_id, x, y, CAST(0 AS INTEGER) AS frame_no, g AS idx, g * 257 AS r, (255 - g) * 257 AS g FROM px", "px"))
 add("src24_gif_frames", lambda s, d: images.parts(_custom(fx.orders(s, d), ["g"], _two_frames)).select("kind", "place", "length"), sql("SELECT 'frame' AS kind, i AS place, CASE i WHEN 0 THEN 100 * h ELSE 97 * (h - 2) END AS length FROM range(2) t(i) CROSS JOIN (SELECT max(y) + 1 AS h FROM px)", "px"))
 
 
@@ -266,34 +281,10 @@ def _smooth(s: SparkSession, d: str) -> DataFrame:
     return fx.orders(s, d).select(*KEYS, num(x * 2 + y % 50).alias("r"), num(F.abs(y % 200 - 100) * 2).alias("g"), num(255 - x).alias("b"), num(255).alias("a"))
 
 
-def _error(got: DataFrame, want: DataFrame, channels: str, bound: int) -> DataFrame:
-    """Pixels compared, and whether all channels are within ``bound``."""
-    joined = got.select(*KEYS, *(F.col(c).alias("got_" + c) for c in channels)).join(want, KEYS)
-    worst = F.greatest(*(F.abs(F.col("got_" + c) - F.col(c)) for c in channels)) if len(channels) > 1 else F.abs(F.col("got_" + channels) - F.col(channels))
-    return joined.agg(F.count("*").alias("n"), (F.max(worst) <= bound).alias("close"))
-
-
-_CLOSE = "SELECT count(*) AS n, true AS close FROM "
-
-
-def _jpeg_rgb(files: DataFrame) -> DataFrame:
-    """Bytes of colour JPEGs by way of their luma and chroma."""
-    return images.decode(files).select(*KEYS, *(v.alias(c) for c, v in zip("rgb", color.ycbcr_to_rgb("c1", "c2", "c3"))))
-
-
-add("src26_jpeg_round_trip", lambda s, d: _error(_jpeg_rgb(images.encode(_smooth(s, d), "jpeg", "rgba", RGBA, quality=95)), _smooth(s, d), "rgb", 24), _CLOSE + "orders")
-add("src26_jpeg_gray", lambda s, d: _error(images.decode(images.encode(_smooth(s, d), "jpeg", "gray", ["g"], quality=95)).select(*KEYS, F.col("c1").alias("g")), _smooth(s, d), "g", 8), _CLOSE + "orders")
 add("src28_jpeg_segments", lambda s, d: images.parts(images.encode(_smooth(s, d), "jpeg", "rgba", RGBA)).where("kind != 'DA'").select("part", "kind", "length"), "SELECT CAST(i AS INTEGER) AS part, k AS kind, CAST(n AS BIGINT) AS length FROM (VALUES (0, 'D8', 0), (1, 'DB', 130), (2, 'C0', 15), (3, 'C4', 416), (5, 'D9', 0)) t(i, k, n)")
 add("src29_jpeg_config", lambda s, d: images.configs(images.encode(_smooth(s, d), "jpeg", "gray", ["g"])), sql("SELECT CAST(0 AS BIGINT) AS image_id, 'jpeg' AS format, 'gray' AS color_model, CAST(100 AS BIGINT) AS width, (SELECT max(y) + 1 FROM px) AS height", "px"))
 
 
-@query("src31_huffman_codes")
-def src31(spark: SparkSession, d: str) -> DataFrame:
-    """(tab, symbol, code, bits) of the four example tables."""
-    rows = [(t, s, *c) for t, (counts, symbols) in enumerate(jpeg.HUFFMAN) for s, c in jpeg.codes_of(list(map(int, counts.split())), [int(v, 16) for v in symbols.split()]).items()]
-    return spark.createDataFrame(rows, "tab int, symbol int, code int, bits int")
-
-
 add("src34_dc_prediction", lambda s, d: blocks.undone_differences(blocks.differences(fx.gray(s, d).select("y", "x", (F.col("g") - 128).alias("dc")), "y", "x", "dc"), "y", "x"), sql("SELECT y, x, g - 128 AS value FROM gray", "gray"))
 
 
@@ -329,68 +320,6 @@ def src32(spark: SparkSession, d: str) -> DataFrame:
     return fx.gray(spark, d).select("x", "y", F.col("g").alias("raw"), value("g").alias("value"))
 
 
-def _restarts(p: np.ndarray) -> bytes:
-    """A gray JPEG with a restart marker after every 8 by 8 block row."""
-    h, w, _ = p.shape
-    rows, cols = -(-h // 8), -(-w // 8)
-    quant = jpeg.scaled_quant(95)[0]
-    coded = jpeg.quantised(jpeg.tiles(p[:, :, 0], rows, cols), quant).tolist()
-    whole = jpeg.encode(Raster("gray", p), 95)
-    start = whole.index(b"\xff\xda")
-    head, scan = whole[:start], whole[start : start + 10]
-    parts = []
-    for row in coded:
-        writer, last = jpeg.Writer(), 0
-        for b in row:
-            last = writer.block(b, last, False)
-        writer.put(0x7F, 7)
-        parts.append(bytes(writer.out))
-    body = b"".join(part + (bytes([0xFF, 0xD0 + i % 8]) if i + 1 < len(parts) else b"") for i, part in enumerate(parts))
-    return head + struct.pack(">BBHH", 0xFF, 0xDD, 4, cols) + scan + body + b"\xff\xd9"
-
-
-add("src38_jpeg_restarts", lambda s, d: _error(images.decode(_custom(_smooth(s, d), ["g"], _restarts)).select(*KEYS, F.col("c1").alias("g")), _smooth(s, d), "g", 8), _CLOSE + "orders")
-
-
-def _components(names: bytes, factors: tuple[int, ...], adobe: int | None, quality: int = 100):
-    """A JPEG of as many full-size components as channels, single scan; luma has ``factors`` horizontally."""
-
-    def make(p: np.ndarray) -> bytes:
-        h, w, n = p.shape
-        quant, most = jpeg.scaled_quant(quality)[0], max(factors)
-        rows, cols = -(-h // 8), -(-w // (8 * most))
-        planes = []
-        for k, f in enumerate(factors):
-            step = most // f
-            small = p[:, ::step, k][:, : -(-w // step)]
-            planes.append(jpeg.quantised(jpeg.tiles(small, rows, cols * f), quant).tolist())
-        writer, last = jpeg.Writer(), [0] * n
-        for y in range(rows):
-            for x in range(cols):
-                for k, f in enumerate(factors):
-                    for i in range(f):
-                        last[k] = writer.block(planes[k][y][x * f + i], last[k], False)
-        writer.put(0x7F, 7)
-        section = lambda marker, body: struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
-        codes = b"".join(bytes([k << 4, *map(int, c.split())]) + bytes.fromhex(v) for k, (c, v) in enumerate(jpeg.HUFFMAN[:2]))
-        comps = b"".join(bytes([names[k], f << 4 | 1, 0]) for k, f in enumerate(factors))
-        app = section(0xEE, b"Adobe" + bytes(6) + bytes([adobe])) if adobe is not None else b""
-        head = app + section(0xDB, b"\0" + bytes(quant.tolist())) + section(0xC0, struct.pack(">BHHB", 8, h, w, n) + comps) + section(0xC4, codes)
-        return b"\xff\xd8" + head + section(0xDA, bytes([n]) + b"".join(bytes([names[k], 0]) for k in range(n)) + b"\0\x3f\0") + bytes(writer.out) + b"\xff\xd9"
-
-    return make
-
-
-_OWN = lambda df, names: df.select(*KEYS, "model", *(F.col(f"c{i}").alias(c) for i, c in enumerate(names, 1)))
-add("src39_jpeg_rgb", lambda s, d: _error(_OWN(images.decode(_custom(_smooth(s, d), ["r", "g", "b"], _components(b"RGB", (1, 1, 1), None))), "rgb").where("model = 'rgba'"), _smooth(s, d), "rgb", 4), _CLOSE + "orders")
-add("src40_jpeg_cmyk", lambda s, d: _error(_OWN(images.decode(_custom(_smooth(s, d), RGBA, _components(b"CMYK", (1, 1, 1, 1), 0))), "rgba").where("model = 'cmyk'").select(*KEYS, *((255 - F.col(c)).alias(c) for c in RGBA)), _smooth(s, d), "rgba", 4), _CLOSE + "orders")
-for _name, _factors in (("422", (2, 1, 1)), ("411", (4, 1, 1)), ("flex", (1, 2, 4))):
-    add(
-        f"src33_jpeg_{_name}",
-        lambda s, d, f=_factors: _OWN(images.decode(_custom(_smooth(s, d), ["g", "r", "b"], _components(b"\1\2\3", f, None))), ["yy", "cb", "cr"]).agg(F.count("*").alias("n"), F.min("model").alias("model")),
-        "SELECT count(*) AS n, 'ycbcr' AS model FROM orders",
-    )
-
 # --- sinks --------------------------------------------------------------------------------------
 
 add("snk01_bmp_gray", lambda s, d: images.decode(images.encode(fx.gray(s, d), "bmp", "gray", ["g"])).select(*KEYS, "model", F.shiftright("r", 8).alias("g")), sql("SELECT image_id, x, y, 'paletted' AS model, g FROM gray", "gray"))
@@ -463,72 +392,8 @@ def snk19(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("snk19_quantise", lambda s, d: fx.gray(s, d).select("x", "y", blocks.rounded(num("g") * 31 - 4000, num("x") + 1).alias("q")), sql("SELECT x, y, CAST(CASE WHEN g * 31 < 4000 THEN -((2 * (4000 - g * 31) + x + 1) // (2 * (x + 1))) ELSE (2 * (g * 31 - 4000) + x + 1) // (2 * (x + 1)) END AS BIGINT) AS q FROM gray", "gray"))
-_TILED = sql("SELECT px.image_id, tx // 8 AS bx, ty // 8 AS by, tx % 8 AS u, ty % 8 AS v, r FROM (SELECT i % 104 AS tx, i // 104 AS ty FROM range(104 * (((SELECT max(y) + 1 FROM px WHERE y < 20) + 7) // 8 * 8)) t(i)) JOIN px ON px.x = least(tx, 99) AND px.y = least(ty, (SELECT max(y) FROM px WHERE y < 20))", "px")
-
-
-@query("snk20_tiles", _TILED.replace("max(y) + 1 FROM px WHERE y < 20", "least(20, max(y) + 1) FROM px").replace("max(y) FROM px WHERE y < 20", "least(19, max(y)) FROM px"))
-def snk20(spark: SparkSession, d: str) -> DataFrame:
-    px = fx.orders(spark, d).where("y < 20")
-    return blocks.tiles(px, 100, _height(px), ["r"])
-
-
-def _height(px: DataFrame) -> int:
-    return px.agg(F.max("y")).first()[0] + 1
-
-
-def _whole_tiles(s: SparkSession, d: str) -> DataFrame:
-    px = fx.orders(s, d)
-    return blocks.tiles(px, 100, _height(px), ["r"])
-
-
-_WHOLE = _TILED.replace(" WHERE y < 20", "")
-add("snk20_tiles_whole", _whole_tiles, _WHOLE)
-
-
 add("snk21_halve", lambda s, d: blocks.halved(fx.orders(s, d), "r"), sql("SELECT image_id, x // 2 AS x, y // 2 AS y, CAST((sum(r) + 2) // 4 AS BIGINT) AS r FROM px GROUP BY ALL", "px"))
-add("snk22_jpeg_padding", lambda s, d: _error(_jpeg_rgb(images.encode(_smooth(s, d).where("x < 37 and y < 13"), "jpeg", "rgba", RGBA, quality=95)), _smooth(s, d), "rgb", 24), _CLOSE + "orders WHERE o_orderkey % 100 < 37 AND o_orderkey < 1300")
 add("snk23_endings", lambda s, d: s.createDataFrame([(p, images.format_of(p)[0], images.format_of(p)[1].get("quality", 0)) for p in ("a.BMP", "b.jpg", "c.x.jpeg", "d.png", "e.GIF")], "path string, format string, quality int"), "SELECT p AS path, f AS format, CAST(q AS INTEGER) AS quality FROM (VALUES ('a.BMP', 'bmp', 0), ('b.jpg', 'jpeg', 90), ('c.x.jpeg', 'jpeg', 90), ('d.png', 'png', 0), ('e.GIF', 'gif', 0)) t(p, f, q)")
 add("snk23_transcode", lambda s, d: images.decode(datasource.transcode(images.encode(_opaque(s, d), "bmp", "rgba", RGBA), "png")).select(*KEYS, "format", *(F.shiftright(c, 8).alias(c) for c in RGBA)), sql("SELECT image_id, x, y, 'png' AS format, r, g, b, CAST(255 AS BIGINT) AS a FROM px", "px"))
 
-# --- transforms ---------------------------------------------------------------------------------
-
-
-def _blocks(s: SparkSession, d: str) -> DataFrame:
-    return blocks.gathered(blocks.tiles(fx.orders(s, d).where("y < 8 and x < 96"), 96, 8, ["r"]), "r").withColumn("block", F.col("block").cast("array<double>"))
-
-
-add("dct1_forward", lambda s, d: blocks.transform(_blocks(s, d), "block", "forward").select("bx", F.round(F.col("block")[0]).cast("long").alias("dc")), sql("SELECT x // 8 AS bx, CAST(round(sum(r) / 8.0) AS BIGINT) AS dc FROM px WHERE y < 8 AND x < 96 GROUP BY ALL", "px"))
-
-
-@query("dct2_round_trip", sql("SELECT x, y, r FROM px WHERE y < 8 AND x < 96", "px"))
-def dct2(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks through both transforms are what they were."""
-    back = blocks.transform(blocks.transform(_blocks(spark, d), "block", "forward"), "block", "inverse")
-    cells = back.select("bx", "by", F.posexplode("block").alias("i", "v"))
-    return cells.select((F.col("bx") * 8 + F.col("i") % 8).alias("x"), (F.col("by") * 8 + F.floor(F.col("i") / 8)).alias("y"), F.round("v").cast("long").alias("r"))
-
-
-def _whole_blocks(s: SparkSession, d: str) -> DataFrame:
-    return blocks.gathered(_whole_tiles(s, d), "r").withColumn("block", F.col("block").cast("array<double>"))
-
-
-add("dct1_forward_whole", lambda s, d: blocks.transform(_whole_blocks(s, d), "block", "forward").select("bx", "by", F.round(F.col("block")[0] * 8).cast("long").alias("dc8")), f'SELECT bx, "by", CAST(sum(r) AS BIGINT) AS dc8 FROM ({_WHOLE}) GROUP BY ALL')
-
-
-@query("dct2_round_trip_whole", sql("SELECT x, y, r FROM px", "px"))
-def dct2_whole(spark: SparkSession, d: str) -> DataFrame:
-    """All blocks of the raster through both transforms, without the repeated edges."""
-    back = blocks.transform(blocks.transform(_whole_blocks(spark, d), "block", "forward"), "block", "inverse")
-    cells = back.select("bx", "by", F.posexplode("block").alias("i", "v"))
-    cells = cells.select((F.col("bx") * 8 + F.col("i") % 8).alias("x"), (F.col("by") * 8 + F.floor(F.col("i") / 8)).alias("y"), F.round("v").cast("long").alias("r"))
-    return cells.where((F.col("x") < 100) & (F.col("y") < _height(fx.orders(spark, d))))
-
-
-@query("dct3_basis")
-def dct3(spark: SparkSession, d: str) -> DataFrame:
-    """(k, n, w): the weights of the one-dimensional transform."""
-    return spark.createDataFrame([(k, n, float(jpeg.BASIS[k, n])) for k in range(8) for n in range(8)], "k int, n int, w double")
-
-
-add("dct4_zigzag", lambda s, d: blocks.zigzag(s), "SELECT row_number() OVER (ORDER BY i // 8 + i % 8, CASE WHEN (i // 8 + i % 8) % 2 = 1 THEN i // 8 ELSE i % 8 END) - 1 AS z, i AS place FROM range(64) t(i)")
 add("q01_palettised", lambda s, d: palette.indexed_by_image(fx.canonical(s, d), quantize.palettes(quantize.histogram(fx.canonical(s, d), premultiplied=False))))

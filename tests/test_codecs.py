@@ -178,9 +178,14 @@ def test_jpeg_errors():
 
 
 def test_cosine_transform():
-    blocks = RNG.integers(-128, 128, (500, 8, 8))
-    assert np.abs(jpeg.inverse(np.round(jpeg.forward(blocks))) - blocks).max() < 3
-    assert np.allclose(jpeg.inverse(jpeg.forward(blocks)), blocks)
+    samples = RNG.integers(0, 256, (500, 8, 8))
+    basis = np.array([[np.sqrt((1 if k == 0 else 2) / 8) * np.cos((2 * n + 1) * k * np.pi / 16) for n in range(8)] for k in range(8)])
+    exact = basis @ (samples - 128.0) @ basis.T
+    assert np.abs(jpeg.forward(samples) - 8 * exact).max() < 1
+    steps = np.round(exact).astype(int)
+    assert np.abs(jpeg.inverse(steps) - basis.T @ steps @ basis).max() < 0.75
+    assert np.abs(jpeg.inverse(steps) + 128 - samples).max() <= 2
+    assert jpeg.forward(np.full((8, 8), 255))[0, 0] == 8 * 8 * 127 and not jpeg.inverse(np.zeros((8, 8), int)).any()
     assert sorted(jpeg.ZIGZAG) == list(range(64)) and jpeg.ZIGZAG[:6].tolist() == [0, 1, 8, 16, 9, 2]
 
 

@@ -7,12 +7,12 @@ import os
 import duckdb
 import pytest
 
-from pixelmill.plans import codec_queries, pixel_queries  # noqa: F401  each registers its queries
+from pixelmill.plans import codec_queries, jpeg_queries, pixel_queries  # noqa: F401  each registers its queries
 from pixelmill.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that SQL can't express; they have tests of their own.
-ROWS_ONLY = {"q01_quantize", "q01_palettised", "snk10_gif_own_palette", "src31_huffman_codes", "dct3_basis"}
+ROWS_ONLY = {"q01_quantize", "q01_palettised", "snk10_gif_own_palette"}
 
 
 @pytest.fixture(scope="module")
@@ -41,11 +41,3 @@ def test_query(name, spark, duck):
     assert rows == sorted(repr(tuple(map(plain, r))) for r in want.fetchall())
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "float": "FLOAT"}
     assert {c: kinds[t] for c, t in got.dtypes} == {c[0]: str(c[1]) for c in want.description}
-
-
-def test_transforms_see_the_whole_raster(spark):
-    """One direct value for each block and one pixel for each row of the table."""
-    rows = spark.read.parquet(f"{DATA}/orders.parquet").count()
-    assert QUERIES["dct2_round_trip_whole"](spark, DATA).count() == rows
-    assert QUERIES["dct1_forward_whole"](spark, DATA).count() == 13 * -(-rows // 800)
-    assert [r["n"] for r in QUERIES["src04_decode_all"](spark, DATA).collect()] == [rows] * 4
