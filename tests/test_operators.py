@@ -1,6 +1,10 @@
 """Operators on small rasters: laws, quirks and edge cases that the SQL oracles don't show."""
 
+import random
+
 import numpy as np
+
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -158,3 +162,23 @@ def test_user_models(spark):
 
     color.register_model("red", ("red",), lambda r, g, b, a: (color.num(r),))
     assert raster.convert(image(spark, {(0, 0): (5, 6, 7, 8)}), "red").columns == ["image_id", "x", "y", "red"]
+
+
+def test_rectangle_joins_at_all_sizes(spark):
+    """Boxes from a pixel to a million a side, empty ones and negative places, against plain loops; few rows are dealt."""
+    rng = random.Random(5)
+    boxes = []
+    for i in range(120):
+        x0, y0, side = rng.randrange(-300, 300), rng.randrange(-300, 300), rng.choice([0, 1, 5, 16, 17, 40, 200])
+        boxes.append((i, x0, y0, x0 + rng.randrange(side + 1), y0 + side))
+    boxes += [(200, -(10**6), -(10**6), 10**6, 10**6), (201, -7, -7, 10**6, -6), (202, 0, 0, 0, 5)]
+    df = spark.createDataFrame(boxes, "id long, x0 long, y0 long, x1 long, y1 long")
+    full = [b for b in boxes if b[1] < b[3] and b[2] < b[4]]
+    meet = lambda a, b: max(a[1], b[1]) < min(a[3], b[3]) and max(a[2], b[2]) < min(a[4], b[4])
+    some = df.where("id % 3 = 0 or id >= 200")
+    got = sorted((r["l_id"], r["r_id"]) for r in raster.overlapping(df, some).collect())
+    assert got == sorted((a[0], b[0]) for a in full for b in full if meet(a, b) and (b[0] % 3 == 0 or b[0] >= 200))
+    assert raster.overlapping(df, df.where("id = 202")).count() == 0 == raster.overlapping(df.limit(0), df).count()
+    points = [(0, rng.randrange(-320, 320), rng.randrange(-320, 320)) for _ in range(200)]
+    placed = raster.in_boxes(spark.createDataFrame(points, "image_id long, x long, y long"), df)
+    assert sorted((r["x"], r["y"], r["id"]) for r in placed.collect()) == sorted((x, y, b[0]) for _, x, y in points for b in full if b[1] <= x < b[3] and b[2] <= y < b[4])
