@@ -148,10 +148,65 @@ def test_plan_keeps_every_limit(rule):
         packing.plan({101: 1}, limits)
 
 
+def one_by_one(pieces, limits, rule):
+    """Each piece, long ones first, to the bin of least score that can take it; equal scores: the first bin."""
+    whole, weights, room = limits.room(), np.array(limits.weights), []
+    out = []
+    for n in pieces:
+        need = limits.need(n)
+        fits = [(packing.score(r[None], need, whole, weights, rule)[0], b) for b, r in enumerate(room) if (r >= need).all()]
+        b = min(fits)[1] if fits else len(room)
+        room += [whole] if not fits else []
+        room[b] = room[b] - need
+        out.append((b, n))
+    return sorted(tuple(sorted(n for c, n in out if c == b)) for b in range(len(room)))
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("limits", [packing.Limits(60), packing.Limits(60, 3, 1500), packing.Limits(60, 5, None, (1.0, 0.2, 3.0))])
+def test_plan_is_best_fit_by_score(rule, limits):
+    rng = random.Random(7)
+    for _ in range(6):
+        lengths = {n: rng.randrange(1, 9) for n in rng.sample(range(1, 39), 12)}
+        bins = {}
+        for length, _, count, bin0, _ in packing.plan(lengths, limits, rule):
+            for k in range(count):
+                bins.setdefault(bin0 + k, []).append(length)
+        want = one_by_one([n for n in sorted(lengths, reverse=True) for _ in range(lengths[n])], limits, rule)
+        assert sorted(tuple(sorted(v)) for v in bins.values()) == want
+
+
+def test_the_score_decides(monkeypatch):
+    """The registered query's limits go through the score, and another score gives another plan."""
+    calls, plain = [], packing.score
+    monkeypatch.setattr(packing, "score", lambda *a: calls.append(len(a[0])) or plain(*a))
+    rng = random.Random(4)
+    lengths = {n: rng.randrange(1, 40) for n in range(1, 4097, 7)}
+    chosen = packing.plan(lengths)
+    assert len(calls) == len(lengths) and max(calls) > 100
+    monkeypatch.setattr(packing, "score", lambda *a: -plain(*a))
+    assert packing.plan(lengths) != chosen
+
+
+def test_plan_does_not_grow_with_the_number_of_pieces():
+    rng = random.Random(2)
+    lengths = {n: rng.randrange(1, 1000) for n in range(1, 4097, 3)}
+    one, many = packing.plan(lengths), packing.plan({n: k * 10**6 for n, k in lengths.items()})
+    assert len(many) < 3 * len(one)
+    for c, p in ((lengths, one), ({n: k * 10**6 for n, k in lengths.items()}, many)):
+        total = sum(n * k for n, k in c.items())
+        assert max(s[3] + s[2] for s in p) <= -(-total // 4096) * 1.03 + 1
+        assert sum(s[0] * s[2] for s in p) == total
+
+
 def test_caches_start_again(monkeypatch):
     t = packing.CachedTokenizer(queries.tokenizer_path(), most=5)
-    for text in ("one two three four five six seven", "six seven eight nine, ten!", "one two", ""):
+    monkeypatch.setattr(t, "CHUNK", 12)
+    texts = ("one two three four five six seven", "six seven eight nine, ten!", "one two", "", "a\x00b \x00 c", "İx, É. Σ ΑΣ e\u0301, ½ 12 _a\u2003b", "don't''s 're x're\x1d y", "日本語、テスト。" * 5, "x" * 50)
+    for text in texts:
         assert t.ids(text).tolist() == t.inner.encode(text, add_special_tokens=False).ids
+    for text, ids in zip(texts, t.all_ids(list(texts))):
+        assert ids.tolist() == t.inner.encode(text, add_special_tokens=False).ids
 
 
 def pipeline_docs(spark):
