@@ -102,6 +102,15 @@ def tidy(operator):
     return run
 
 
+#: Rows of one long that every task may be told: some 2 MB as a hash table.
+SMALL = 1 << 16
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys with the way to join it: told to all tasks if it has at most ``SMALL`` rows, else a shuffle."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys.hint("shuffle_merge")
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that ``df`` doesn't have (names compare without case)."""
     have = {c.lower() for c in df.columns}
