@@ -10,8 +10,9 @@ longest-common-prefix value is l or more), and with k = floor(log2 l) the interv
 A maximal repeated run counts if it has ``min_words`` words.  Any line of a run with that many
 words lies in a window of it that is minimal from its first line on, or minimal up to its last
 line: two windows per line tell all, each at most ``min_words`` lines long, so the doubling ends
-after log2(min_words) rounds however long runs are.  Of the copies of a window all but the first
-(by document id, then line) go.
+after log2(min_words) rounds however long runs are.  Of the copies of a window, the suffixes of one
+interval, all but the first (by document id, then line) go; their union, taken as a running maximum
+of ends along each document, is the maximal runs of later copies.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def _windows(active: DataFrame, min_words: int) -> DataFrame:
     doc = Window.partitionBy("r").orderBy("i")
     run = active.withColumn("run", F.col("i") - F.row_number().over(doc)).withColumn("to", F.sum("w").over(doc)).withColumn("fro", F.col("to") - F.col("w"))
     whole = Window.partitionBy("r", "run")
-    after = whole.orderBy("fro").rangeBetween(min_words, Window.unboundedFollowing)
+    # both frames begin at the first row, so each row is added once; falling order makes "after" such a frame
+    after = whole.orderBy(F.desc("fro")).rangeBetween(Window.unboundedPreceding, -min_words)
     before = whole.orderBy("to").rangeBetween(Window.unboundedPreceding, -min_words)
     ends = run.select(
         "r",
@@ -53,7 +55,7 @@ def _windows(active: DataFrame, min_words: int) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame, key: str, doc_id: str, text: str, min_words: int = 50) -> DataFrame:
-    """(r, at): lines (place among all lines of the text) that are later copies of a run. ``key`` is unique."""
+    """(r, i, at): lines (place among the non-blank and among all lines of the text) that are later copies of a run. ``key`` is unique."""
     lines = docs.select(F.col(key).alias("r"), F.col(doc_id).alias("d"), F.posexplode(_solid(F.col(text))).alias("i", "x"))
     lines = written(lines.select("r", "d", F.col("i").cast("long").alias("i"), "x.at", "x.w", "x.h", "x.g"), "lines")
     again = lines.groupBy("h", "g").agg(F.count("*").alias("m")).where("m > 1")
@@ -82,14 +84,32 @@ def removed_lines(docs: DataFrame, key: str, doc_id: str, text: str, min_words:
     named = named.join(one, (F.col("r") == F.col("r_one")) & (F.col("first") == F.col("i_one")) & (F.col("k") == F.col("k_one")))
     named = named.join(two, (F.col("r") == F.col("r_two")) & (F.col("second") == F.col("i_two")) & (F.col("k") == F.col("k_two")))
     order = docs.select(F.col(key).alias("r"), F.col(doc_id).alias("d"))
-    named = named.select("r", "first", "n", "one", "two").join(order, "r")
+    named = named.select("r", "first", F.col("n").alias("lcp"), "one", "two").join(order, "r")
     place = F.struct(F.col("d").isNull().alias("z"), F.col("d"), F.col("r"), F.col("first"))
-    named = written(named.withColumn("place", place), "intervals")
-    firsts = named.groupBy("n", "one", "two").agg(F.min("place").alias("least"), F.count("*").alias("m")).where("m > 1")
-    firsts = written(firsts.select(F.col("n").alias("nn"), F.col("one").alias("a"), F.col("two").alias("b"), "least"), "firsts")
-    later = named.join(firsts, (F.col("n") == F.col("nn")) & (F.col("one") == F.col("a")) & (F.col("two") == F.col("b"))).where("place > least")
-    gone = later.select("r", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("i")).distinct()
-    return gone.join(active.select("r", "i", "at"), ["r", "i"]).select("r", "at")
+    named = written(named.withColumn("place", place), "suffixes-named")
+    # an interval of the suffix array whose suffixes share their first ``lcp`` lines: its first place and its size
+    intervals = named.groupBy("lcp", "one", "two").agg(F.min("place").alias("least"), F.count("*").alias("m")).where("m > 1")
+    intervals = written(intervals.select(F.col("lcp").alias("l"), F.col("one").alias("a"), F.col("two").alias("b"), "least"), "intervals")
+    later = named.join(intervals, (F.col("lcp") == F.col("l")) & (F.col("one") == F.col("a")) & (F.col("two") == F.col("b"))).where("place > least")
+    # a line goes if an interval that begins at it or before reaches it: one running maximum, no row per line and interval
+    ends = later.select("r", F.col("first").alias("i"), F.lit(None).cast("int").alias("at"), (F.col("first") + F.col("lcp") - 1).alias("last"))
+    both = active.select("r", "i", "at", F.lit(None).cast("long").alias("last")).unionByName(ends)
+    reach = F.max("last").over(Window.partitionBy("r").orderBy("i").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return both.withColumn("reach", reach).where("at is not null and reach >= i").select("r", "i", "at")
+
+
+@tidy
+def maximal_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
+    """(doc_id, first, last, n_lines): maximal runs of later copies; places among all lines of the text, from 0.
+
+    Neighbouring and overlapping intervals of one text are one run; blank lines don't end it and
+    aren't counted.  Null and empty texts and an empty table have none.
+    """
+    docs, key = keyed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "texts")
+    gone = removed_lines(docs, key, "doc_id", "text", min_words)
+    run = F.col("i") - F.row_number().over(Window.partitionBy("r").orderBy("i"))
+    runs = gone.withColumn("run", run).groupBy("r", "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n_lines"))
+    return runs.join(docs.select(F.col(key).alias("r"), "doc_id"), "r").select("doc_id", "first", "last", "n_lines")
 
 
 @tidy

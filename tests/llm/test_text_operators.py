@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -67,12 +68,40 @@ def test_contamination(spark, block_bytes):
     got = decontaminate.contamination(table(spark, docs), bench, size=4, block_bytes=block_bytes).collect()
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got), key=repr)
     assert got == plain_hits(docs, [("" if i is None else i, t) for i, t in items], 4)
-    clean = decontaminate.clean_documents(table(spark, docs), bench, size=4)
-    assert clean.count() == sum(not r[5] for r in got)
+    clean = decontaminate.clean_documents(table(spark, docs), bench, size=4, block_bytes=block_bytes)
+    assert clean.columns == table(spark, []).columns and clean.count() == sum(not r[5] for r in got)
+
+
+@pytest.mark.parametrize("size,places", [(1, 16), (2, 0), (3, 1), (4, 0), (5, 2), (10, 16), (10, 1)])
+def test_scanner_against_plain_windows(size, places):
+    """Few words, so that blocks have many places; every way of looking them up gives the same."""
+    rng = random.Random(size)
+    text = lambda n, k: " ".join(rng.choice("abcd"[:k]) for _ in range(n))
+    items = [(i, text(rng.choice([0, 1, size - 1, size, 2 * size + 1, 40]), rng.choice([2, 3, 4])).encode()) for i in range(25)]
+    s = decontaminate.Scanner(items, size, places)
+    docs = [(i, text(rng.randrange(80), rng.choice([2, 4]))) for i in range(60)] + [(100, items[-1][1].decode()), (101, "x " + items[-1][1].decode() + " x")]
+    plain = {r[0]: r for r in plain_hits(docs, [(i, t.decode()) for i, t in items], size)}
+    for i, t in docs:
+        n, hit, found = s.scan(t.encode())
+        assert (n, len(hit), len(found)) == plain[i][1:4]
+        joined = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
+        assert joined == plain[i][4]
+
+
+def test_very_long_text_and_many_equal_items():
+    """A text of a million words, and a thousand items with the same beginning."""
+    items = [(i, f"answer the following question by choosing one of these: number {i} or none of all".encode()) for i in range(1000)]
+    s = decontaminate.Scanner(items)
+    body = b"one two three " * 330_000 + items[7][1] + b" end " + items[7][1][:60]
+    began = time.perf_counter()
+    n, hit, found = s.scan(body)
+    assert time.perf_counter() - began < 20
+    assert n == 990_000 + 15 + 1 + 10 and hit[0] == 990_000 and found >= {7}
+    assert [body[a:b] for a, b in s.spans(body)][0] == items[7][1]
 
 
 def test_spans_are_in_the_original():
-    s = decontaminate.Scanner(decontaminate.item_windows([(1, b"Quick, brown FOX")], 3))
+    s = decontaminate.Scanner([(1, b"Quick, brown FOX")], 3)
     plain = "é! a Quick--brown. fox b, quick\nBROWN (fox".encode()
     assert [plain[a:b] for a, b in s.spans(plain)] == [b"Quick--brown. fox", b"quick\nBROWN (fox"]
     assert s.spans(b"quick brown") == s.spans(b"") == []
@@ -130,6 +159,39 @@ def test_line_dedup_edges(spark):
     assert [r["text"] for r in same.collect()] == ["a b c", "a b c"]
 
 
+def test_line_dedup_of_a_very_long_text(spark):
+    """A document of 100,000 lines that repeat: time in proportion to its lines."""
+    one = [f"line number {i % 7} of it" for i in range(100_000)]
+    began = time.perf_counter()
+    got, _, removed = line_runs.without_repeats(table(spark, [(1, "\n".join(one)), (2, "alone")]))
+    kept = {r["doc_id"]: (r["text"], r[removed]) for r in got.collect()}
+    assert time.perf_counter() - began < 60
+    # the first 10 lines (50 words) are the first copy; a window that begins inside the first seven lines occurs nowhere before
+    n = kept[1][0].count("\n") + 1
+    assert kept[2] == ("alone", 0) and n == 7 and kept[1][1] == 100_000 - n
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_maximal_runs(spark, seed):
+    rng = random.Random(seed)
+    lines = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice([1, 2, 5]))) for _ in range(8)] + ["", " "]
+    docs = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(1, 30)))) for i in range(30)]
+    got = line_runs.maximal_runs(table(spark, docs), min_words=8).collect()
+    found = {}
+    for r in got:
+        text = docs[r["doc_id"]][1].split("\n")
+        solid = [k for k in range(r["first"], r["last"] + 1) if text[k].split()]
+        assert r["n_lines"] == len(solid) and solid[0] == r["first"] and solid[-1] == r["last"]
+        found.setdefault(r["doc_id"], []).append(solid)
+    want = plain_dedup(docs, 8)
+    for (i, text), left in zip(docs, want):
+        gone = {k for run in found.get(i, []) for k in run}
+        assert "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) == left
+        place = {k: n for n, k in enumerate(k for k, x in enumerate(text.split("\n")) if x.split())}
+        edges = sorted((place[run[0]], place[run[-1]]) for run in found.get(i, []))
+        assert all(b + 1 < c for (_, b), (c, _) in zip(edges, edges[1:]))  # none can be joined with the next
+
+
 def test_line_dedup_is_native(spark):
     got, _, _ = line_runs.without_repeats(table(spark, [(1, "x")]))
     plan = got._jdf.queryExecution().toString()
@@ -201,13 +263,48 @@ def test_language_id(spark):
     assert alone[0]["lang_pred"] == "und"
 
 
-def test_filters_against_sets(spark):
-    rows = [(i, t, l) for i, (t, l) in enumerate([("abcabc", "x"), ("abd", "y"), ("qrs", "x")])]
-    f = language_bits.learn(table(spark, rows), share=0.0, least_rate=0.0)
-    sets = {"x": set(language_bits.grams("abcabc").tolist()) | set(language_bits.grams("qrs").tolist()), "y": set(language_bits.grams("abd").tolist())}
-    for text in ("abc", "abd", "qrs", "zzz"):
-        h = language_bits.grams(text)
-        assert dict(zip(f.langs, f.hits(h))) == {k: sum(v in s for v in h.tolist()) for k, s in sets.items()}
+def plain_grams(text):
+    """All n-grams of 3 to 5 characters, as strings."""
+    x = " "
+    for ch in (text or "").replace("\u03a3", "\u03c3").lower() + " ":
+        ch = ch if ch.isalpha() else " "
+        x += ch if ch != " " or x[-1] != " " else ""
+    return [x[i : i + n] for n in (3, 4, 5) for i in range(len(x) - n + 1)]
+
+
+def test_filters_hold_every_ngram(spark):
+    """The registered form: every n-gram learnt is returned, others at about the rate of the fill."""
+    rng = random.Random(3)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(2, 9)))
+    texts = [(" ".join(word("abcdefgh\u00e9") for _ in range(60)), "x") for _ in range(30)] + [(" ".join(word("efghijkl") for _ in range(60)), "y") for _ in range(20)] + [("only here", "z"), (None, "w"), ("12", "v")]
+    f = language_bits.learn(table(spark, [(i, t, k) for i, (t, k) in enumerate(texts)]))
+    assert f.langs[:3] == ("x", "y", "z") and set(f.langs[3:]) == {"v"}
+    sets = {k: {g for t, own in texts if own == k for g in plain_grams(t)} for k in "xyz"}
+    for text in (texts[0][0], texts[40][0], "only here", "a", "\u03a3\u03a3 \u0130x", " ".join(word("mnopqrstuvw") for _ in range(3000))):
+        own, h = plain_grams(text), language_bits.grams(text)
+        assert len(h) == len(own) and len(set(h.tolist())) == len(set(own))
+        for k, false, hits in zip(f.langs, f.false, f.hits(h)):
+            held = sum(g in sets.get(k, ()) for g in own)
+            assert held <= hits <= held + 3 + 3 * false * len(own)
+    assert 0 < f.false[0] < 0.03 and f.predict(texts[0][0])[0] == "x" and f.predict("12 !") == ("und", 0.0)
+    assert f.predict("\u4e2d\u6587") == ("x", 0.0)  # no filter has any of it: the largest
+
+
+def test_ngrams_do_not_depend_on_blocks():
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab \n1\u03a3\u0130\u00c9c") for _ in range(500))
+    want = np.sort(language_bits.grams(text))
+    for block in (1, 2, 3, 7, 100):
+        assert np.array_equal(np.sort(np.concatenate(list(language_bits.blocks(text, block=block)))), want)
+    long = "word " * 400_000
+    assert sum(map(len, language_bits.blocks(long))) == sum(2_000_001 - n + 1 for n in (3, 4, 5))
+    assert max(map(len, language_bits.blocks(long))) <= 3 * (language_bits.BLOCK + 6)
+
+
+def test_equal_counts_go_to_the_language_with_most(spark):
+    rows = [(0, "abc abd", "b"), (2, "abc abd", "a"), (3, "abc xyz uvw", "c"), (3, "abc xyz uvw", "c")]
+    f = language_bits.learn(table(spark, rows))
+    assert f.langs == ("c", "a", "b") and f.predict("abd")[0] == "a" and f.predict("abc")[0] == "c"
 
 
 # --- language model -----------------------------------------------------------------------------
