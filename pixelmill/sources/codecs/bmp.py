@@ -75,35 +75,47 @@ def decode(data: bytes) -> Raster:
     return Raster("nrgba", np.dstack((bgr[:, :, 2::-1], alpha)))
 
 
-def encode(image: Raster) -> bytes:
-    """8 bits for gray and paletted, 24 for opaque colours, 32 (straight) else; rows from the bottom, padded with zeros."""
-    n, w, table = image.height, image.width, b""
-    if image.model in ("gray", "paletted"):
-        depth = 8
-        entries = np.zeros((256, 4), np.uint8)
-        if image.model == "gray":
-            entries[:, :3] = np.arange(256)[:, None]
-        else:
-            entries[: len(image.palette), :3] = image.palette[:, 2::-1]
-        table, rows = entries.tobytes(), pack_rows(image.pixels[:, :, 0], 8)
-    elif image.model in ("rgba", "nrgba"):
-        p = image.pixels
-        opaque = bool((p[:, :, 3] == 255).all())
-        depth = 24 if opaque else 32
-        if image.model == "rgba" and not opaque:  # stored straight: 16-bit un-premultiply of bytes
-            a = p[:, :, 3:] * 257
-            colour = np.where(a > 0, (p[:, :, :3] * 257 * 65535 // np.maximum(a, 1)) >> 8, 0) & 255
-        else:
-            colour = p[:, :, :3]
-        rows = np.dstack((colour[:, :, ::-1], p[:, :, 3:]))[:, :, : depth // 8].reshape(n, -1)
-    elif image.model == "rgba64":  # any other image: canonical channels, alpha dropped
-        depth, rows = 24, (image.pixels[:, :, 2::-1] >> 8).reshape(n, -1)
-    else:
+#: Bytes that are kept of a pixel until it is known whether all are opaque.
+KEPT = {"gray": 1, "paletted": 1, "rgba": 4, "nrgba": 4, "rgba64": 3}
+
+
+def samples(image: Raster) -> np.ndarray:
+    """The index, or blue, green, red and straight alpha; of canonical channels (any other image) no alpha."""
+    p = image.pixels
+    if image.model not in KEPT:
         raise UnsupportedError(f"bmp: {image.model}")
-    rows = rows.astype(np.uint8).reshape(n, -1)
-    padded = np.zeros((n, (w * depth + 31) // 32 * 4), np.uint8)
-    padded[:, : rows.shape[1]] = rows
+    if KEPT[image.model] == 1:
+        return p[:, :, :1].astype(np.uint8)
+    if image.model == "rgba64":
+        return (p[:, :, 2::-1] >> 8).astype(np.uint8)
+    colour = p[:, :, :3]
+    if image.model == "rgba" and not (p[:, :, 3] == 255).all():  # stored straight: 16-bit un-premultiply of bytes
+        a = p[:, :, 3:].astype(np.int64) * 257
+        colour = np.where(a > 0, (colour.astype(np.int64) * 257 * 65535 // np.maximum(a, 1)) >> 8, 0) & 255
+    return np.dstack((colour[:, :, ::-1], p[:, :, 3:])).astype(np.uint8)
+
+
+def file_of(w: int, h: int, model: str, parts: list[np.ndarray], opaque: bool, palette: np.ndarray | None) -> bytes:
+    """8 bits for gray and paletted, 24 for opaque colours, 32 (straight) else; rows from the bottom, padded with zeros."""
+    keep = KEPT[model] if KEPT[model] < 4 or not opaque else 3
+    entries = np.zeros((256, 4), np.uint8)
+    if model == "gray":
+        entries[:, :3] = np.arange(256)[:, None]
+    elif model == "paletted":
+        entries[: len(palette), :3] = palette[:, 2::-1]
+    table = entries.tobytes() if keep == 1 else b""
+    stride = (w * keep * 8 + 31) // 32 * 4
+    padded, at = np.zeros((h, stride), np.uint8), h
+    for part in parts:
+        n = len(part)
+        padded[at - n : at, : w * keep] = part[::-1, :, :keep].reshape(n, -1)
+        at -= n
     offset = FILE_HEADER + INFO + len(table)
     head = struct.pack("<2sIHHI", b"BM", offset + padded.size, 0, 0, offset)
-    info = struct.pack("<IiiHHIIiiII", INFO, w, n, 1, depth, 0, padded.size, 0, 0, 256 if table else 0, 0)
-    return head + info + table + padded[::-1].tobytes()
+    info = struct.pack("<IiiHHIIiiII", INFO, w, h, 1, 8 * keep, 0, padded.size, 0, 0, 256 if table else 0, 0)
+    return head + info + table + padded.tobytes()
+
+
+def encode(image: Raster) -> bytes:
+    opaque = image.model in ("rgba", "nrgba") and bool((image.pixels[:, :, 3] == 255).all())
+    return file_of(image.width, image.height, image.model, [samples(image)], opaque, image.palette)

@@ -84,66 +84,103 @@ def unlzw(data: bytes, width: int, most: int) -> np.ndarray:
     return np.frombuffer(b"".join(out)[:most], np.uint8)
 
 
-def lzw(values: bytes, width: int = 8) -> bytes:
-    """The opposite of :func:`unlzw`, starting with a clear code."""
-    clear, end = 1 << width, (1 << width) + 1
-    held = count = 0
-    out = bytearray()
-
-    def put(code: int, bits: int) -> None:
-        nonlocal held, count
-        held |= code << count
-        count += bits
-        while count >= 8:
-            out.append(held & 255)
-            held >>= 8
-            count -= 8
-
-    table, bits, following = {}, width + 1, end + 1
-    put(clear, bits)
-    run = -1
+def _codes(values: bytes, width: int) -> tuple[list[int], np.ndarray]:
+    """Codes of ``values`` after a clear code, and how many bits each takes and one more would take."""
+    clear, first = 1 << width, (1 << width) + 2
+    codes, heads = [clear], [1]
+    put, table, following = codes.append, {}, first
+    get, run = table.get, -1
     for v in values:
-        if run < 0:
-            run = v
-            continue
-        known = table.get((run, v))
+        key = run << 8 | v
+        known = get(key) if run >= 0 else v
         if known is not None:
             run = known
             continue
-        put(run, bits)
-        table[run, v] = following
-        if following == 1 << bits and bits < 12:
-            bits += 1
+        put(run)
+        table[key] = following
         following += 1
-        if following == 4096:  # all codes are used
-            put(clear, bits)
-            table, bits, following = {}, width + 1, end + 1
         run = v
+        if following == 4096:  # all codes are used
+            put(clear)
+            heads.append(len(codes))
+            table, following = {}, first
+            get = table.get
     if run >= 0:
-        put(run, bits)
-        if following == 1 << bits and bits < 12:
-            bits += 1
-    put(end, bits)
-    if count:
-        out.append(held & 255)
-    return bytes(out)
+        put(run)
+    # the k-th code after a clear one follows k - 1 new entries, which tell its bits
+    since = np.arange(len(codes) + 1)
+    since -= np.repeat(heads, np.diff([0, *heads[1:], len(codes) + 1]))
+    bits = np.maximum(width + 1, np.frexp(np.maximum(first + since - 1, 1))[1])
+    bits[0] = width + 1
+    return codes, np.minimum(bits, 12)
 
 
-def literal(values: bytes) -> bytes:
-    """Bytes as 9-bit codes with a clear code before every 254, so that codes never widen.
+def _packed(codes: np.ndarray, bits: np.ndarray) -> bytes:
+    """Codes of several lengths, low bits first."""
+    out = []
+    for at in range(0, len(codes), 1 << 16):
+        c, n = codes[at : at + (1 << 16), None].astype(np.uint16), bits[at : at + (1 << 16), None]
+        out.append((c >> np.arange(12, dtype=np.uint16) & 1).astype(np.uint8)[np.arange(12) < n])
+    return np.packbits(np.concatenate(out), bitorder="little").tobytes()
+
 
-    Any reader takes it; it is an eighth larger than the bytes, and made without a loop.
-    """
-    v = np.frombuffer(values, np.uint8).astype(np.uint16)
+def lzw(values: bytes, width: int = 8) -> bytes:
+    """The opposite of :func:`unlzw`, starting with a clear code."""
+    codes, bits = _codes(values, width)
+    return _packed(np.array([*codes, (1 << width) + 1]), bits)
+
+
+def _nine(codes: np.ndarray) -> bytes:
+    """9-bit codes, eight at a time: nine bytes."""
+    short = -len(codes) % 8
+    c = np.concatenate((codes, np.zeros(short, np.uint16))).astype("<u8").reshape(-1, 8)
+    out = np.empty((len(c), 9), np.uint8)
+    low = c[:, 0].copy()
+    for k in range(1, 8):
+        low |= c[:, k] << np.uint64(9 * k)  # of the last one, its lowest bit
+    out[:, :8] = low.view(np.uint8).reshape(-1, 8)
+    out[:, 8] = c[:, 7] >> np.uint64(1)
+    return out.tobytes()[: (9 * len(codes) + 7) // 8]
+
+
+def _unchanged(values: bytes) -> np.ndarray:
+    """Bytes as codes with a clear code before every 254, so that codes never widen."""
+    v = np.frombuffer(values, np.uint8)
     rows = -(-len(v) // 254)
     full = np.zeros((rows, 255), np.uint16)
     full[:, 0] = 256
-    flat = np.zeros(rows * 254, np.uint16)
+    flat = np.zeros(rows * 254, np.uint8)
     flat[: len(v)] = v
     full[:, 1:] = flat.reshape(rows, 254)
-    codes = np.append(full.reshape(-1)[: len(v) + rows], np.uint16(257))
-    bits = (codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+    return full.reshape(-1)[: len(v) + rows]
+
+
+def literal(values: bytes) -> bytes:
+    """Bytes as 9-bit codes; any reader takes them. They are an eighth larger than the bytes, and made without a loop."""
+    return _nine(np.append(_unchanged(values), np.uint16(257)))
+
+
+def band(values: bytes, compress: bool = True) -> bytes:
+    """Codes of a part of an image that end on a byte and with a clear table, in sub-blocks; :func:`file_of` joins such parts."""
+    if compress:
+        codes, bits = _codes(values, 8)
+        used = int(bits.sum())  # the code after the last one is a clear code
+        more = -used % 8  # clear codes of nine bits, one bit over a byte each
+        data = _packed(np.array(codes + [256] * (1 + more)), np.concatenate((bits, np.full(more, 9))))
+    else:
+        codes = _unchanged(values)
+        data = _nine(np.concatenate((codes, np.full(-len(codes) % 8, 256, np.uint16))))
+    whole = len(data) // 255
+    blocks = np.full((whole, 256), 255, np.uint8)
+    blocks[:, 1:] = np.frombuffer(data, np.uint8, whole * 255).reshape(whole, 255)
+    rest = data[whole * 255 :]
+    return blocks.tobytes() + (bytes([len(rest)]) + rest if rest else b"")
+
+
+def band_values(data: bytes, count: int) -> np.ndarray:
+    """The opposite of :func:`band`."""
+    body, _ = _blocks(data + b"\0", 0)
+    return unlzw(body, 8, count)
 
 
 def frames(data: bytes, most: int | None = None) -> Iterator[Raster]:
@@ -182,12 +219,16 @@ def decode(data: bytes) -> Raster:
     raise FormatError("gif: no image")
 
 
-def encode(index: np.ndarray, palette: np.ndarray, compress: bool = True) -> bytes:
-    """One frame with a global table of 256 entries, filled up with black; alpha is dropped. Uncompressed is far faster."""
-    h, w = index.shape
+def file_of(width: int, height: int, palette: np.ndarray, bands: list[bytes]) -> bytes:
+    """One frame with a global table of 256 entries, filled up with black; alpha is dropped."""
     table = np.zeros((256, 3), np.uint8)
     table[: len(palette)] = palette[:, :3]
-    body = (lzw if compress else literal)(index.astype(np.uint8).tobytes())
-    blocks = b"".join(bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255))
-    screen = struct.pack("<6sHHBBB", b"GIF89a", w, h, 0xF7, 0, 0)
-    return screen + table.tobytes() + struct.pack("<BHHHHBB", 0x2C, 0, 0, w, h, 0, 8) + blocks + b"\0\x3b"
+    screen = struct.pack("<6sHHBBB", b"GIF89a", width, height, 0xF7, 0, 0)
+    frame = struct.pack("<BHHHHBB", 0x2C, 0, 0, width, height, 0, 8)
+    return b"".join((screen, table.tobytes(), frame, *bands, b"\2\1\1\0\x3b"))  # the end code, 257, in a block of its own
+
+
+def encode(index: np.ndarray, palette: np.ndarray, compress: bool = True) -> bytes:
+    """A file of one band. Uncompressed is far faster."""
+    h, w = index.shape
+    return file_of(w, h, palette, [band(index.astype(np.uint8).tobytes(), compress)])

@@ -153,8 +153,8 @@ def encode_rows(rows: np.ndarray, w: int, h: int, depth: int, kind: int, extra:
     return MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, kind, 0, 0, 0)) + extra + data + chunk(b"IEND", b"")
 
 
-def encode(image: Raster) -> bytes:
-    """8-bit RGBA without prediction; bytes of ``rgba`` and ``nrgba`` as they are, canonical ones shortened."""
+def samples(image: Raster) -> np.ndarray:
+    """8-bit RGBA; bytes of ``rgba`` and ``nrgba`` as they are, canonical ones shortened."""
     p = image.pixels
     if image.model == "rgba64":
         p = p >> 8
@@ -164,4 +164,26 @@ def encode(image: Raster) -> bytes:
         p = image.palette[p[:, :, 0]]
     elif image.model not in ("rgba", "nrgba"):
         raise UnsupportedError(f"png: {image.model}")
-    return encode_rows(filtered(p.reshape(image.height, -1), 0, 4), image.width, image.height, 8, 6)
+    return p.astype(np.uint8)
+
+
+def encode(image: Raster) -> bytes:
+    """RGBA without prediction."""
+    return encode_rows(filtered(samples(image).reshape(image.height, -1), 0, 4), image.width, image.height, 8, 6)
+
+
+def joined_checksum(parts: list[tuple[int, int]]) -> int:
+    """The Adler-32 of a whole from (checksum, length) of its parts: two sums, of bytes and of all sums so far."""
+    bytes_, sums = 1, 0
+    for check, n in parts:
+        own, own_sums = check & 0xFFFF, check >> 16
+        sums = (sums + own_sums + n * (bytes_ - 1)) % 65521
+        bytes_ = (bytes_ + own - 1) % 65521
+    return sums << 16 | bytes_
+
+
+def file_of(w: int, h: int, parts: list[tuple[bytes, int, int]], block: int = 32768) -> bytes:
+    """A file of 8-bit RGBA from (deflated rows that end with a full flush, their Adler-32, their length)."""
+    packed = b"".join((b"\x78\x9c", *(p for p, _, _ in parts), b"\3\0", struct.pack(">I", joined_checksum([(c, n) for _, c, n in parts]))))
+    data = b"".join(chunk(b"IDAT", packed[i : i + block]) for i in range(0, len(packed), block))
+    return MAGIC + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 6, 0, 0, 0)) + data + chunk(b"IEND", b"")

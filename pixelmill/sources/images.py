@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bands
 from .codecs import bmp, gif, jpeg, png
 from .codecs.base import FormatError, Raster, UnsupportedError
 from .registry import canonical, sniff, sniffed
@@ -197,38 +198,23 @@ def configs(files: DataFrame) -> DataFrame:
 # --- sinks --------------------------------------------------------------------------------------
 
 
-def _assembled(table: pa.Table, model: str, channels: list[str], palette: np.ndarray | None) -> Raster:
-    """Pixels of one image, in any order, as an array; pixels that are missing are 0."""
-    x, y = table["x"].to_numpy(), table["y"].to_numpy()
-    x0, y0 = int(x.min()), int(y.min())
-    out = np.zeros((int(y.max()) - y0 + 1, int(x.max()) - x0 + 1, len(channels)), np.int64)
-    out[y - y0, x - x0] = np.column_stack([table[c].to_numpy() for c in channels])
-    return Raster(model, out, palette)
-
-
-ENCODERS = {"bmp": bmp.encode, "png": png.encode}
-
-
 def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette: np.ndarray | None = None, quality: int = 75, compress: bool = True) -> DataFrame:
-    """(image_id, content): each image of a pixel table as a file.
+    """(image_id, content): each image of a pixel table as a file; its rows may come in any order, missing pixels are 0.
 
-    An image is one group: its pixels meet in one task, as the formats' sequential coding needs.
-    Its rows may come in any order.  gif takes paletted pixels with ``palette`` (n, 3 or 4 bytes);
-    without ``compress`` its codes are made in one pass over arrays.
+    gif, png and bmp are coded in bands of rows, each in a task of its own.  A jpeg's blocks are
+    coded one after the other, so its packed runs meet in one task.  gif takes paletted pixels
+    with ``palette`` (n, 3 or 4 bytes); without ``compress`` its codes are made in one pass.
     """
-    if fmt not in ("bmp", "png", "gif", "jpeg"):
+    if fmt in ("gif", "png", "bmp"):
+        return bands.encode(pixels, fmt, model, channels, palette, compress)
+    if fmt != "jpeg":
         raise ValueError(f"no such format: {fmt}")
 
     def write(table: pa.Table) -> pa.Table:
-        image = _assembled(table, model, channels, palette)
-        if fmt == "gif":
-            data = gif.encode(image.pixels[:, :, 0], palette, compress)
-        else:
-            data = jpeg.encode(image, quality) if fmt == "jpeg" else ENCODERS[fmt](image)
-        return pa.table({"image_id": pa.array([table["image_id"][0].as_py()], pa.int64()), "content": pa.array([data], pa.binary())})
+        image = Raster(model, bands.assembled(table, len(channels), model)[2], palette)
+        return pa.table({"image_id": table["image_id"][:1], "content": pa.array([jpeg.encode(image, quality)], pa.binary())})
 
-    own = pixels.select(F.col("image_id").cast("long"), F.col("x").cast("long"), F.col("y").cast("long"), *(F.col(c).cast("long") for c in channels))
-    return own.groupBy("image_id").applyInArrow(write, "image_id long, content binary")
+    return bands.runs(pixels, channels, model, None).groupBy("image_id").applyInArrow(write, "image_id long, content binary")
 
 
 def encode_gif(indexed: DataFrame, palettes_by_image: DataFrame) -> DataFrame:
@@ -239,10 +225,10 @@ def encode_gif(indexed: DataFrame, palettes_by_image: DataFrame) -> DataFrame:
             return pa.table({"image_id": pa.array([], pa.int64()), "content": pa.array([], pa.binary())})
         order = np.argsort(right["idx"].to_numpy())
         table = np.column_stack([right[c].to_numpy()[order] for c in "rgb"])
-        image = _assembled(left, "paletted", ["idx"], table)
-        return pa.table({"image_id": pa.array([left["image_id"][0].as_py()], pa.int64()), "content": pa.array([gif.encode(image.pixels[:, :, 0], table)], pa.binary())})
+        return pa.table({"image_id": left["image_id"][:1], "content": pa.array([bands.file_of(left, "gif", "paletted", 1, table, True)], pa.binary())})
 
-    return indexed.groupBy("image_id").cogroup(palettes_by_image.groupBy("image_id")).applyInArrow(write, "image_id long, content binary")
+    own = bands.coded(bands.runs(indexed, ["idx"], "paletted"), "gif", "paletted", 1)
+    return own.groupBy("image_id").cogroup(palettes_by_image.groupBy("image_id")).applyInArrow(write, "image_id long, content binary")
 
 
 #: File endings: format and options, as the command line of an image converter would choose.

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pixelmill.sources import registry
+from pixelmill.sources import bands
 from pixelmill.sources.codecs import bmp, gif, jpeg, png
 from pixelmill.sources.codecs.base import FormatError, Raster, UnsupportedError
 
@@ -194,3 +195,40 @@ def test_sniffing():
     assert not registry.matches(b"BM????\0\0\0\0", b"BM1234")
     with pytest.raises(FormatError):
         registry.sniffed(b"plain text")
+
+
+@pytest.mark.parametrize("fmt,model,channels", [("gif", "paletted", 1), ("png", "nrgba", 4), ("png", "paletted", 1), ("bmp", "rgba", 4), ("bmp", "nrgba", 4), ("bmp", "paletted", 1), ("bmp", "rgba64", 4)])
+@pytest.mark.parametrize("case", ["whole", "shuffled", "holes"])
+def test_bands_are_the_whole_image(spark, fmt, model, channels, case):
+    """Many images of several heights; whatever the bands and the order of rows, the pixels of a file coded at once."""
+    rng = np.random.default_rng(7)
+    palette = np.column_stack([np.arange(256), 255 - np.arange(256), np.full(256, 9), np.full(256, 255)])
+    rows, want = [], {}
+    for image in range(5):
+        h, w = 1 + 9 * image, 13 + image
+        top = 65536 if model == "rgba64" else 256
+        p = rng.integers(0, top, (h, w, channels))
+        if channels == 4 and image < 3:
+            p[..., 3] = top - 1
+        x0, y0 = -2 * image, image - 3
+        full = [(image, x0 + x, y0 + y, *map(int, p[y, x])) for y in range(h) for x in range(w)]
+        if case == "holes":
+            gone = set(rng.choice(len(full), len(full) // 4, replace=False).tolist()) - {0, len(full) - 1, w - 1, len(full) - w}
+            for k in gone:
+                p[k // w, k % w] = 0
+            full = [r for k, r in enumerate(full) if k not in gone]
+        rows += full
+        want[image] = p
+    if case == "shuffled":
+        rows = [rows[i] for i in rng.permutation(len(rows))]
+    names = [f"c{i}" for i in range(channels)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} long" for n in ["image_id", "x", "y", *names])).repartition(3, "y")
+    table = palette if model == "paletted" else None
+    files = {r["image_id"]: bytes(r["content"]) for r in bands.encode(df, fmt, model, names, table, rows=4).collect()}
+    codec = {"gif": gif, "png": png, "bmp": bmp}[fmt]
+    for image, p in want.items():
+        alone = gif.encode(p[:, :, 0], table) if fmt == "gif" else codec.encode(Raster(model, p, table))
+        one, other = codec.decode(files[image]), codec.decode(alone)
+        assert one.model == other.model and np.array_equal(one.pixels, other.pixels)
+        if fmt == "bmp":
+            assert files[image] == alone
