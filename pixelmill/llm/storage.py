@@ -10,6 +10,7 @@ import functools
 import tempfile
 import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back with the same schema."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for paths in (_paths(spark), *_scopes()):
+    for paths in (_paths(spark), *_scopes()):  # before it is written: a part that a failed write leaves is known, too
         paths.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +82,17 @@ def release(spark: SparkSession) -> int:
     return len(paths)
 
 
+@contextmanager
+def scope():
+    """The tables that this thread writes inside, as a growing list of paths."""
+    made: list[str] = []
+    _scopes().append(made)
+    try:
+        yield made
+    finally:
+        _scopes().pop()
+
+
 def tidy(operator):
     """An operator that deletes the tables it wrote and that its result doesn't read any more.
 
@@ -89,11 +101,13 @@ def tidy(operator):
 
     @functools.wraps(operator)
     def run(*args, **options):
-        _scopes().append([])
-        try:
-            out = operator(*args, **options)
-        finally:
-            made = _scopes().pop()
+        with scope() as made:
+            try:
+                out = operator(*args, **options)
+            except BaseException:
+                if made and (spark := SparkSession.getActiveSession()):
+                    drop(spark, list(made))
+                raise
         spark = SparkSession.getActiveSession() or next(x.sparkSession for x in (*args, *options.values()) if isinstance(x, DataFrame))
         kept = tables_of(spark, out[0] if isinstance(out, tuple) else out)
         drop(spark, [p for p in made if p not in kept])
