@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -15,39 +17,43 @@ from . import images
 def read(spark: SparkSession, path: str, mode: str = "PERMISSIVE", max_frames: int | None = 1, pattern: str = "*") -> DataFrame:
     """Pixels of the files under ``path`` with the file's path; Spark lists and reads the files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    keyed = files.select(F.xxhash64("path").alias("image_id"), "content")
-    names = files.select(F.xxhash64("path").alias("image_id"), "path")  # content isn't read for this
-    return images.decode(keyed, mode, max_frames).join(names, "image_id")
+    return images.decode(files.select(F.xxhash64("path").alias("image_id"), "content", "path"), mode, max_frames, with_path=True)
+
+
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (file, hdfs, s3, gs ...) and the place in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
 class RasterWriter(DataSourceWriter):
-    """Writes (name, content) rows as files, first under a hidden name, then in one move."""
+    """Writes (name, content) rows as files, first under a hidden name, then in one move; both in the path's own file system."""
 
     def __init__(self, path: str):
         self.path = path
 
     def write(self, iterator):
-        import uuid
-
-        os.makedirs(self.path, exist_ok=True)
+        place, top = store(self.path)
+        place.create_dir(top, recursive=True)
         done = []
         for row in iterator:
-            hidden = os.path.join(self.path, f".{uuid.uuid4().hex}")
-            with open(hidden, "wb") as f:
+            hidden = f"{top}/.{uuid.uuid4().hex}"
+            with place.open_output_stream(hidden) as f:
                 f.write(bytes(row["content"]))
-            done.append((hidden, os.path.join(self.path, row["name"])))
+            done.append((hidden, f"{top}/{row['name']}"))
         return Moves(done)
 
     def commit(self, messages):
+        place, _ = store(self.path)
         for m in messages:
             for hidden, name in m.moves if m else ():
-                os.replace(hidden, name)
+                place.move(hidden, name)
 
     def abort(self, messages):
+        place, _ = store(self.path)
         for m in messages:
             for hidden, _ in m.moves if m else ():
-                if os.path.exists(hidden):
-                    os.remove(hidden)
+                if place.get_file_info(hidden).type != fs.FileType.NotFound:
+                    place.delete_file(hidden)
 
 
 class Moves(WriterCommitMessage):
@@ -56,7 +62,10 @@ class Moves(WriterCommitMessage):
 
 
 class RasterSink(DataSource):
-    """``df.write.format("raster").mode("append").save(path)`` of (name, content); the path is one that all nodes share."""
+    """``df.write.format("raster").mode("append").save(path)`` of (name, content).
+
+    The path is a URI, or a folder that all nodes mount.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -59,8 +59,8 @@ def _error(image_id, text: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([image_id if i == 0 else text if i == 15 else None], t) for i, t in enumerate(kinds)], names=_names())
 
 
-def decode(files: DataFrame, mode: str = "PERMISSIVE", max_frames: int | None = 1, verify_checksums: bool = False) -> DataFrame:
-    """Pixels of all files: own channels c1.. of the model and canonical r, g, b, a.
+def decode(files: DataFrame, mode: str = "PERMISSIVE", max_frames: int | None = 1, verify_checksums: bool = False, with_path: bool = False) -> DataFrame:
+    """Pixels of all files: own channels c1.. of the model and canonical r, g, b, a (and the files' path).
 
     The first ``max_frames`` frames (None: all) are read.  A null content and a file of no known
     format are bad files; an image without pixels gives no row.
@@ -85,14 +85,15 @@ def decode(files: DataFrame, mode: str = "PERMISSIVE", max_frames: int | None =
 
     def rows(batches):
         for b in batches:
-            for key, content in zip(b.column(0).to_pylist(), b.column(1)):
+            paths = b.column(2).to_pylist() if with_path else [None] * b.num_rows
+            for key, content, path in zip(b.column(0).to_pylist(), b.column(1), paths):
                 for made, error in _failures(content.as_py(), mode, work):
-                    if error:
-                        yield _error(key, error)
-                    else:
-                        yield pa.RecordBatch.from_arrays([pa.array([key] * made.num_rows, pa.int64()), *made.columns[1:]], names=_names())
+                    made = _error(key, error) if error else made
+                    n = made.num_rows
+                    extra = [pa.array([path] * n, pa.string())] if with_path else []
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), *made.columns[1:], *extra], names=_names() + ["path"] * with_path)
 
-    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(rows, PIXELS)
+    return files.select(F.col("image_id").cast("long"), "content", *["path"] * with_path).mapInArrow(rows, PIXELS + ", path string" * with_path)
 
 
 def parts(files: DataFrame, verify: bool = False) -> DataFrame:
