@@ -4,13 +4,16 @@ Vectors are turned by a random rotation and cut into blocks; each block has ``co
 directions.  A filter is one direction per block; a vector passes it if the inner products with
 them, summed, are ``bar`` or more; several such codes, each with its own rotation, are used.  The list of all filters that a vector passes is decoded block
 by block: a part is dropped as soon as the best the other blocks can add stays under the bar.
-Near vectors share a filter with high probability; pairs in a filter are verified in doubles.
+Near vectors share a filter with high probability.  What meets in a filter is an id and the signs
+of 64 random projections; pairs whose signs differ in few places are joined with their vectors and
+verified in doubles.  Only filters in which near pairs are many, those of a large group of near
+vectors, bring the vectors together, and there links are counted instead of listed.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,23 @@ from .graph import components
 from .storage import keyed, tidy, written
 
 
+_PARTS: dict = {}
+
+
+def cap(dim: int, share: float) -> float:
+    """The inner product with a unit vector that a share of all unit vectors (half at most) reach: the cosine of a spherical cap's angle.
+
+    The sphere's points at an angle a from a pole are in proportion to sin(a) ** (dim - 2).
+    """
+    if dim < 2 or share >= 0.5:
+        return 0.0
+    angles = np.linspace(0, np.pi / 2, 1 << 16)
+    weight = np.sin(angles) ** (dim - 2)
+    within = np.concatenate(([0], np.cumsum((weight[1:] + weight[:-1]) / 2)))
+    return float(np.cos(np.interp(share, within / (2 * within[-1]), angles)))
+
+
+
 @dataclass(frozen=True)
 class Code:
     """``copies`` independent codes of blocks x codes directions; a code lets a vector pass about ``expected`` filters."""
@@ -36,15 +56,17 @@ class Code:
         return self.codes**self.blocks
 
     def parts(self, dim: int) -> list[tuple]:
-        """Rotation, directions by block and bar of each copy; a function of the seed and the sizes alone."""
-        out = []
+        """Rotation, directions by block and bar of each copy; a function of the seed and the sizes alone, made once a worker."""
+        if (self, dim) in _PARTS:
+            return _PARTS[self, dim]
+        out = _PARTS[self, dim] = []
         for copy in range(self.copies):
             r = np.random.default_rng((self.seed, dim, self.blocks, self.codes, copy))
             turn, codes = np.linalg.qr(r.standard_normal((dim, dim)))[0], []
             for size in (len(x) for x in np.array_split(np.arange(dim), self.blocks)):
                 c = r.standard_normal((self.codes, size))
                 codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300) * np.sqrt(size / dim))
-            out.append((turn, codes, NormalDist().inv_cdf(1 - min(0.5, self.expected / self.filters)) / np.sqrt(dim)))
+            out.append((turn, codes, cap(dim, self.expected / self.filters) if self.filters > 1 else -2.0))
         return out
 
     def decoded(self, x: np.ndarray, part: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -78,23 +100,48 @@ def chosen(n: int, dim: int, cosine: float, recall: float = 0.995, together: int
     """A code for ``n`` vectors: a filter has about ``together`` of them if they lie apart.
 
     Copies are added until seeded random pairs at the given cosine share a filter with
-    probability ``recall``; no data are looked at.
+    probability ``recall``; no data are looked at.  If ``most`` copies don't reach it, filters are
+    made wider; the widest is one filter of all vectors, which are then compared without a miss.
     """
     r = np.random.default_rng(11)
     a, b = r.standard_normal((2, 800, dim))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b = cosine * a + np.sqrt(max(0.0, 1 - cosine**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    if dim > 1:
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = cosine * a + np.sqrt(max(0.0, 1 - cosine**2)) * b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)
+    else:
+        b = a
     filters = max(256, 4 * n // together)
-    blocks = min(dim, 2 if filters <= 1 << 16 else 3 if filters <= 1 << 30 else 4)
-    codes = max(2, round(filters ** (1 / blocks)))
-    code, missed = Code(blocks, codes, most), np.ones(len(a), bool)
-    for k, part in enumerate(code.parts(dim)):
-        (ra, fa), (rb, fb) = code.decoded(a, part), code.decoded(b, part)
-        missed[ra[np.isin(ra * code.filters + fa, rb * code.filters + fb)]] = False
-        if missed.mean() <= 1 - recall:
-            return Code(blocks, codes, k + 1)
-    return code
+    while filters > 8:
+        blocks = min(dim, 2 if filters <= 1 << 16 else 3 if filters <= 1 << 30 else 4)
+        codes = max(2, round(filters ** (1 / blocks)))
+        code, missed = Code(blocks, codes, most), np.ones(len(a), bool)
+        for k, part in enumerate(code.parts(dim)):
+            (ra, fa), (rb, fb) = code.decoded(a, part), code.decoded(b, part)
+            missed[ra[np.isin(ra * code.filters + fa, rb * code.filters + fb)]] = False
+            if missed.mean() <= 1 - recall:
+                return Code(blocks, codes, k + 1)
+        filters //= 4
+    return Code(1, 1, 1)
+
+
+SIGNS = 64
+
+
+def signs(x: np.ndarray, seed: int = 13) -> np.ndarray:
+    """The signs of each row's inner products with 64 random directions, as a long."""
+    planes = np.random.default_rng((seed, x.shape[1])).standard_normal((x.shape[1], SIGNS))
+    return np.packbits(x @ planes > 0, axis=1, bitorder="little").view("<i8").ravel()
+
+
+def signs_apart(cosine: float, lost: float = 1e-4) -> int:
+    """So many signs that a pair of that cosine differs in more with probability ``lost`` at most (each differs with angle / pi)."""
+    p = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    chance, k = 0.0, -1
+    while chance < 1 - lost and k < SIGNS:
+        k += 1
+        chance += math.comb(SIGNS, k) * p**k * (1 - p) ** (SIGNS - k)
+    return k
 
 
 def usable(vector: Column) -> Column:
@@ -103,7 +150,7 @@ def usable(vector: Column) -> Column:
 
 
 def _decoded(vectors: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """(c, n, vec, dim, filters, f): a row for each class and filter that it passes."""
+    """(c, n, dim, signs, filters): a row for each class with all filters that it passes."""
 
     def decode(batches):
         for b in batches:
@@ -118,13 +165,64 @@ def _decoded(vectors: DataFrame, codes: dict[int, Code]) -> DataFrame:
                     rows = own[at : at + 512]
                     x = flat[starts[rows][:, None] + np.arange(dim)]
                     x = x / np.abs(x).max(axis=1, keepdims=True)
-                    i, f = code.lists(x / np.linalg.norm(x, axis=1, keepdims=True), parts)
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    i, f = code.lists(x, parts)
                     sizes = np.bincount(i, minlength=len(rows))
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(f, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[rows]), pa.array(n[rows]), vec.take(pa.array(rows)), pa.array(np.full(len(rows), dim, np.int32)), lists], names=["c", "n", "vec", "dim", "filters"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[rows]), pa.array(n[rows]), pa.array(np.full(len(rows), dim, np.int32)), pa.array(signs(x)), lists], names=["c", "n", "dim", "signs", "filters"])
+
+    out = vectors.select("c", "n", "vec").mapInArrow(decode, "c long, n long, dim int, signs long, filters array<long>")
+    return written(out, "decoded")
 
-    out = vectors.select("c", "n", "vec").mapInArrow(decode, f"c long, n long, vec {vectors.schema['vec'].dataType.simpleString()}, dim int, filters array<long>")
-    return written(out, "decoded").withColumn("f", F.explode("filters"))
+
+def _near(apart: int, dense: int):
+    """Pairs of a filter (or of two of its parts) whose signs are near; none but a note if they are over ``dense`` a row."""
+
+    def group(table: pa.Table) -> pa.Table:
+        f, one, two = (table[k][0].as_py() for k in ("f", "one", "two"))
+        order = np.argsort(table["c"].to_numpy())
+        c, s, part = (table[k].to_numpy()[order] for k in ("c", "signs", "part"))
+        s = s.view(np.uint64)
+        a, b = [], []
+        for at in range(0, len(c), 256):
+            near = np.bitwise_count(s[at : at + 256, None] ^ s[None, :]) <= apart
+            if one != two:
+                near &= part[at : at + 256, None] != part[None, :]
+            i, j = np.nonzero(near)
+            later = j > i + at
+            a.append(c[i[later] + at])
+            b.append(c[j[later]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a) > dense * len(c):
+            a, b = np.array([-1]), np.array([-1])
+        n = len(a)
+        same = lambda v, kind: pa.array([v] * n, kind)
+        return pa.table({"dim": same(table["dim"][0].as_py(), pa.int32()), "f": same(f, pa.int64()), "one": same(one, pa.int32()), "two": same(two, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return group
+
+
+def _cosine(x: np.ndarray, y: np.ndarray) -> float:
+    x, y = x / np.abs(x).max(), y / np.abs(y).max()
+    return float(np.dot(x, y) / np.sqrt(np.dot(x, x) * np.dot(y, y)))
+
+
+def _linked(pairs: DataFrame, rows: DataFrame, cosine: float) -> DataFrame:
+    """(a, b, na, nb): pairs (a, b, f) of that cosine whose first common filter is f."""
+
+    def verify(batches):
+        for t in batches:
+            out = []
+            va, vb, fa, fb = (t.column(k) for k in ("va", "vb", "fa", "fb"))
+            for k, f in enumerate(t.column("f").to_pylist()):
+                x, y = (np.asarray(v[k].values, np.float64) for v in (va, vb))
+                if _cosine(x, y) >= cosine and np.intersect1d(fa[k].values, fb[k].values, assume_unique=True)[0] == f:
+                    out.append(k)
+            yield t.select(["a", "b", "na", "nb"]).take(pa.array(out, pa.int64()))
+
+    for k in "ab":
+        pairs = pairs.join(rows.select(F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("vec").alias(f"v{k}"), F.col("filters").alias(f"f{k}")), F.col(k) == F.col(f"c{k}"))
+    return pairs.select("a", "b", "na", "nb", "f", "va", "vb", "fa", "fb").mapInArrow(verify, "a long, b long, na long, nb long")
 
 
 def _verify(cosine: float):
@@ -175,12 +273,15 @@ def _verify(cosine: float):
 
 
 @tidy
-def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95, together: int = 1024, recall: float = 0.995) -> DataFrame:
+def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95, together: int = 1024, recall: float = 0.995, dense: int = 8) -> DataFrame:
     """One row per row of ``table``: vec_id, n_links, component_id, kept.
 
     Equal vectors are one class; classes that share a filter are compared once, and n_links counts
     vectors.  A filter with over ``together`` classes is cut into parts that are compared two by
-    two in tasks of their own, so all its pairs are verified and no task's memory grows with it.
+    two in tasks of their own, so all its pairs are compared and no task's memory grows with it.
+    Where near pairs are over ``dense`` a class, vectors are brought to the filter and links are
+    counted; elsewhere pairs are joined with their vectors.  Each link counts in the first filter
+    that both ends pass.
     Vectors that are null, zero or hold null or non-finite components link with nothing; vectors
     of different lengths don't link.  component_id is the smallest vec_id that links lead to, its
     own included; a null vec_id counts as a vector but is never the smallest.  kept: vec_id equals
@@ -193,15 +294,31 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     sizes = {r[0]: r[1] for r in classes.groupBy(F.size("vec")).count().collect()}  # a row for each length of vectors
     codes = {dim: chosen(n, dim, cosine, recall) for dim, n in sizes.items()}
-    listed = _decoded(classes, codes)
+    decoded = _decoded(classes, codes)
+    listed = decoded.select("dim", "c", "signs", F.explode("filters").alias("f"))
     crowded = listed.groupBy("dim", "f").agg(F.count("*").alias("m")).where(F.col("m") > together)
     crowded = written(crowded.select(F.col("dim").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("m") / together).cast("int").alias("parts")), "crowded")
-    dealt = listed.join(crowded, (F.col("dim") == F.col("d2")) & (F.col("f") == F.col("f2")), "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("dim", "f", F.least("part", "with").alias("one"), F.greatest("part", "with").alias("two"), "part", "c", "n", "vec", "filters")
-    found = written(dealt.groupBy("dim", "f", "one", "two").applyInArrow(_verify(cosine), "c long, other long, links long"), "verified")
-    links = found.groupBy("c").agg(F.sum("links").alias("links")).withColumnRenamed("c", "lc")
-    joined = components(found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")), "a", "b")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows (dim, f, c ...) in the filter's unit, or in all units of two parts that its part is in."""
+        rows = rows.join(crowded, (F.col("dim") == F.col("d2")) & (F.col("f") == F.col("f2")), "left").withColumn("parts", F.coalesce("parts", F.lit(1))).drop("d2", "f2")
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return rows.withColumn("one", F.least("part", "with")).withColumn("two", F.greatest("part", "with")).drop("parts", "with")
+
+    met = dealt(listed).groupBy("dim", "f", "one", "two").applyInArrow(_near(signs_apart(cosine), dense), "dim int, f long, one int, two int, a long, b long")
+    met = written(met, "met")
+    whole = decoded.join(classes.select(F.col("c").alias("cc"), "vec"), F.col("c") == F.col("cc")).drop("cc")
+    pairs = met.where("a >= 0").groupBy("a", "b").agg(F.min("f").alias("f"))
+    sparse = written(_linked(pairs, whole, cosine), "pairs")
+    hot = written(met.where("a < 0").select(F.col("dim").alias("d3"), F.col("f").alias("f3"), F.col("one").alias("u1"), F.col("two").alias("u2")), "dense")
+    hot_rows = dealt(listed.drop("signs").join(hot.select(F.col("d3").alias("d4"), F.col("f3").alias("f4")).distinct(), (F.col("dim") == F.col("d4")) & (F.col("f") == F.col("f4")), "left_semi"))
+    hot_rows = hot_rows.join(hot, (F.col("dim") == F.col("d3")) & (F.col("f") == F.col("f3")) & (F.col("one") == F.col("u1")) & (F.col("two") == F.col("u2")), "left_semi")
+    hot_rows = hot_rows.join(whole.select(F.col("c").alias("c5"), "n", "vec", "filters"), F.col("c") == F.col("c5")).drop("c5")
+    found = written(hot_rows.groupBy("dim", "f", "one", "two").applyInArrow(_verify(cosine), "c long, other long, links long"), "verified")
+    links = found.where("links > 0").select("c", "links").unionByName(sparse.select(F.col("a").alias("c"), F.col("nb").alias("links"))).unionByName(sparse.select(F.col("b").alias("c"), F.col("na").alias("links")))
+    links = links.groupBy("c").agg(F.sum("links").alias("links")).withColumnRenamed("c", "lc")
+    edges = found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")).unionByName(sparse.select("a", "b"))
+    joined = components(edges, "a", "b")
     ids = written(classes.drop("vec").join(joined, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).join(links, F.col("c") == F.col("lc"), "left"), "rooted")
     least = ids.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "r2")
     ids = written(ids.join(least, F.col("root") == F.col("r2")).select(F.col("h").alias("h2"), F.col("g").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id")), "labels")

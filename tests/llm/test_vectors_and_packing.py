@@ -90,6 +90,59 @@ def test_decoding_lists_all_filters():
         assert set(zip(*(v.tolist() for v in code.decoded(x, part)))) == want
 
 
+def planted(n, dim, cosines, rng):
+    """Random unit vectors, half of them with a partner at one of the cosines."""
+    a = rng.standard_normal((n // 2, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal((n // 2, dim))
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.choice(cosines, n // 2)[:, None]
+    return np.concatenate((a, c * a + np.sqrt(1 - c * c) * b)).astype(np.float32)
+
+
+@pytest.mark.parametrize("dim,dense", [(64, 8), (64, 0), (16, 8), (3, 8)])
+def test_recall_on_planted_pairs(spark, dim, dense):
+    """Pairs at and over the bar, by the registered parameters; dense 0: all links are counted inside filters."""
+    rng = np.random.default_rng(dim)
+    x = planted(2000 if dim > 3 else 400, dim, [0.94, 0.951, 0.96, 0.97, 0.999], rng)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in cap_filters.near_vectors(vectors(spark, rows), dense=dense).collect()}
+    y = x.astype(np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    near = (y @ y.T >= 0.95) & ~np.eye(len(y), dtype=bool)
+    want = near.sum(axis=1)
+    found = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.985 * want.sum()
+
+
+def test_caps_of_all_dimensions():
+    """The share of random unit vectors over the bar, and codes whose sampled recall is met for any length of vectors."""
+    rng = np.random.default_rng(1)
+    for dim in (2, 3, 8, 64):
+        x = rng.standard_normal((200_000, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for share in (0.3, 0.01):
+            assert abs((x[:, 0] >= cap_filters.cap(dim, share)).mean() - share) < 0.1 * share
+    for dim in (1, 2, 4, 12, 64):
+        for n in (10, 1_000_000):
+            code = cap_filters.chosen(n, dim, 0.95)
+            x = planted(400, dim, [0.951], rng) if dim > 1 else np.ones((400, 1))
+            a, b = x[:200], x[200:]
+            sets = [set(zip(*(v.tolist() for v in code.lists(z / np.linalg.norm(z, axis=1, keepdims=True), code.parts(dim))))) for z in (a, b)]
+            met = {i for i, _ in sets[0] & sets[1]}
+            assert len(met) >= 0.97 * len(a)
+
+
+def test_signs():
+    rng = np.random.default_rng(5)
+    x = planted(4000, 32, [0.95], rng).astype(np.float64)
+    s = cap_filters.signs(x).view(np.uint64)
+    apart = np.bitwise_count(s[:2000] ^ s[2000:])
+    assert (apart <= cap_filters.signs_apart(0.95)).mean() >= 0.999
+    assert cap_filters.signs_apart(1.0) == 0 and (np.bitwise_count(s[:1999] ^ s[1:2000]) <= cap_filters.signs_apart(0.95)).mean() < 0.01
+
+
 TEXTS = [(None, "no id"), (1, None), (2, ""), (3, "Hello, world! it's 2024"), (3, "Hello, world! it's 2024"), (4, "a\x1cb c's don't İstanbul <|endoftext|> é ǆ"), (5, " ".join(f"token{i}x" for i in range(4000)))]
 
 
