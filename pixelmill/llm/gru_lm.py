@@ -246,12 +246,35 @@ def streams(documents: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.nda
     return x.T.copy(), who.T.copy(), fresh.T.copy()
 
 
+class Pools:
+    """Documents kept by length until a pool holds ``enough`` tokens, so that those that run in step end together."""
+
+    def __init__(self, enough: int, lanes: int = 1, most: int = 1 << 21):
+        self.enough, self.lanes, self.most, self.held, self.sizes = enough, lanes, most, {}, Counter()
+
+    def add(self, item, size: int) -> list | None:
+        """The whole pool if it is full now."""
+        pool = size.bit_length()
+        self.held.setdefault(pool, []).append(item)
+        self.sizes[pool] += size
+        if self.sizes[pool] <= min(self.most, max(self.enough, self.lanes << pool - 1)):
+            return None
+        self.sizes.pop(pool)
+        return self.held.pop(pool)
+
+    def rest(self) -> list[list]:
+        out = list(self.held.values())
+        self.held, self.sizes = {}, Counter()
+        return out
+
+
 def score_documents(net: Network, documents: list[np.ndarray], lanes: int = 512, window: int = 16) -> np.ndarray:
     """Sum of natural log probabilities (of the class alone in rare classes) for each whole document."""
     out = np.zeros(len(documents))
     if not documents:
         return out
-    lanes = min(lanes, len(documents))
+    sizes = [len(d) for d in documents]
+    lanes = max(1, min(lanes, len(documents), 4 * sum(sizes) // max(sizes)))  # lanes are as long as the longest document
     x, who, fresh = streams(documents, lanes)
     h = np.zeros((lanes, net.shape.hidden), np.float32)
     for a in range(0, len(x), window):
@@ -370,15 +393,13 @@ def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: in
             own = Network(v)
             own.unpack(start.value)
             sums = {key: np.full_like(x, 1e-3) for key, x in own.w.items()}
-            waiting, size, n = [], 0, 0
+            pools, n = Pools(100_000, lanes), 0
             for b in batches:
                 for t in b.column(0):
-                    waiting.append(v.encode(tokens_of(t.as_py()))[0])
-                    size += len(waiting[-1])
-                    if size > 200_000:
-                        n += train_documents(own, sums, waiting, lanes, window, rate)
-                        waiting, size = [], 0
-            n += train_documents(own, sums, waiting, lanes, window, rate)
+                    x = v.encode(tokens_of(t.as_py()))[0]
+                    if full := pools.add(x, len(x)):
+                        n += train_documents(own, sums, full, lanes, window, rate)
+            n += train_documents(own, sums, [x for p in pools.rest() for x in p], lanes, window, rate)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([own.packed()], pa.binary())], names=["part", "n", "w"])
 
@@ -405,18 +426,17 @@ def _best(docs: DataFrame, text: str, words, candidates: list[bytes]) -> int | N
     def rate(batches):
         v = words.value
         v.ready()
-        nets, sums, waiting, size, some = [], [0.0] * len(shipped.value), [], 0, False
+        nets, sums, pools, some = [], [0.0] * len(shipped.value), Pools(200_000), False
         for data in shipped.value:
             nets.append(Network(v))
             nets[-1].unpack(data)
         for b in batches:
             for t in b.column(0):
-                waiting.append(v.encode(tokens_of(t.as_py()))[0])
-                size, some = size + len(waiting[-1]), True
-                if size > 200_000:
-                    sums = [s + score_documents(n, waiting).sum() for s, n in zip(sums, nets)]
-                    waiting, size = [], 0
-        sums = [s + score_documents(n, waiting).sum() for s, n in zip(sums, nets)]
+                x, some = v.encode(tokens_of(t.as_py()))[0], True
+                if full := pools.add(x, len(x)):
+                    sums = [s + score_documents(n, full).sum() for s, n in zip(sums, nets)]
+        for left in pools.rest():
+            sums = [s + score_documents(n, left).sum() for s, n in zip(sums, nets)]
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "s"])
 
@@ -431,8 +451,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
     Tokens are the words and one end; a null or empty text is the end alone.  base_score: sum of
     log10((c + 1) / (N + V + 1)), c the token's count in training texts, N all, V distinct ones.
     score: the network's log10 probability of the whole text.  Words under the list's least count
-    get theirs by a join, so that no task holds the whole vocabulary.  Repeated rows each come
-    back; without training texts every token is unseen.
+    get theirs by a join, so that no task holds the whole vocabulary.  Documents run in step with
+    those of about their length; a very long one is one stream, whose memory is in proportion to
+    its tokens.  Repeated rows each come back; without training texts every token is unseen.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("binary").alias("t"))
     counts = written(word_counts(rows.where(~F.col("held_out")), "t"), "counts")
@@ -451,13 +472,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
         floor = math.log10(v.total + v.distinct + 1)
         rare_floor = np.log10(v.rare_mass + 1)
         key = TaskContext.get().partitionId() << 33
-        pools: dict[int, list] = {}  # documents of about one length run in step, so that few lanes end early
-        sizes: Counter = Counter()
+        pools = Pools(500_000)
 
-        def out(pool):
+        def out(waiting):
             nonlocal key
-            waiting = pools.pop(pool)
-            sizes.pop(pool)
             sums = score_documents(own, [w[2] for w in waiting]) / LN10
             n = len(waiting)
             tails = [Counter(w[4]) for w in waiting]
@@ -481,13 +499,10 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
             kinds = kinds or b.schema.types
             for i, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 x, at, lost = v.encode(tokens_of(t.as_py()))
-                pool = len(x).bit_length()
-                pools.setdefault(pool, []).append((i, held, x, at, lost))
-                sizes[pool] += len(x)
-                if sizes[pool] > 500_000:
-                    yield from out(pool)
-        for pool in list(pools):
-            yield from out(pool)
+                if full := pools.add((i, held, x, at, lost), len(x)):
+                    yield from out(full)
+        for left in pools.rest():
+            yield from out(left)
 
     made = rows.mapInArrow(rate, f"r long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word: binary, k: long>>")
     made = written(made, "scored")

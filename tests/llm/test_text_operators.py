@@ -374,6 +374,26 @@ def test_state_is_carried_over_windows():
     assert np.allclose(one, many, rtol=1e-4)
 
 
+def test_a_very_long_document_among_short_ones():
+    """Memory in proportion to the tokens, the same scores as alone."""
+    import tracemalloc
+
+    shape = gru_lm.Shape(hidden=4, words=8, in_class=4, rare=2)
+    net = gru_lm.Network(gru_lm.Vocabulary([b"", b"a", b"b"], [9, 5, 2], 16, 3, [3, 3], shape))
+    rng = np.random.default_rng(3)
+    documents = [rng.integers(0, 10, 10) for _ in range(511)] + [rng.integers(0, 10, 100_000)]
+    tracemalloc.start()
+    got = gru_lm.score_documents(net, documents)
+    assert gru_lm.train_documents(net, {k: np.full_like(x, 1e-3) for k, x in net.w.items()}, documents, 64, 16, 0.0) == 105_110
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    for k in (0, 300, 511):
+        assert abs(gru_lm.score_documents(net, [documents[k]])[0] - got[k]) < 1e-3 * abs(got[k])
+    pools = gru_lm.Pools(50)
+    full = [p for d in documents if (p := pools.add(d, len(d)))]
+    assert sum(map(len, [*full, *pools.rest()])) == 512 and pools.rest() == []
+
+
 def test_gradients():
     v = gru_lm.Vocabulary([b"", b"a", b"b", b"c"], [4, 3, 2, 1], 10, 4, [1, 2, 3], gru_lm.Shape(4, 8, 4, 3))
     net, rng = gru_lm.Network(v), np.random.default_rng(0)
