@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import keyed, tidy, written
+from .storage import keyed, small, tidy, written
 
 
 _PARTS: dict = {}
@@ -320,8 +320,8 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     edges = found.where("other is not null").select(F.col("c").alias("a"), F.col("other").alias("b")).unionByName(sparse.select("a", "b"))
     joined = components(edges, "a", "b")
     ids = written(classes.drop("vec").join(joined, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c")).join(links, F.col("c") == F.col("lc"), "left"), "rooted")
-    least = ids.groupBy("root").agg(F.min("rep").alias("least")).withColumnRenamed("root", "r2")
-    ids = written(ids.join(least, F.col("root") == F.col("r2")).select(F.col("h").alias("h2"), F.col("g").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component_id")), "labels")
+    least = written(ids.groupBy("root").agg(F.min("rep").alias("least"), F.count("*").alias("m")).where("m > 1").select(F.col("root").alias("r2"), "least"), "least-ids")
+    ids = written(ids.join(small(least), F.col("root") == F.col("r2"), "left").select(F.col("h").alias("h2"), F.col("g").alias("g2"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.when(F.col("r2").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "labels")
     out = rows.join(ids, (F.col("h") == F.col("h2")) & (F.col("g") == F.col("g2")), "left")
     component = F.when(F.col("h").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

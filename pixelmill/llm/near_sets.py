@@ -169,6 +169,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     placed = written(made.join(ids, F.col("same") == F.col("of")).select("class", "row_key", order.alias("order")), "placed")
     least = placed.groupBy("class").agg(F.min("order").alias("f"), F.count("*").alias("m"))
     least = written(least.where("m > 1").select(F.col("class").alias("in"), F.col("f.r").alias("first_key")), "firsts")
-    gone = written(placed.join(least, F.col("class") == F.col("in")).where("row_key != first_key").select(F.col("row_key").alias("gone_key")), "gone")
+    gone = written(placed.join(small(least), F.col("class") == F.col("in")).where("row_key != first_key").select(F.col("row_key").alias("gone_key")), "gone")
     kept = whole.join(small(gone), F.col(key) == F.col("gone_key"), "left_anti")
     return kept.select(*(F.col(f"in_{c}").alias(c) for c in docs.columns))

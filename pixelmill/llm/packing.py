@@ -147,9 +147,9 @@ class CachedTokenizer:
         young, old = cache
         lost = keys.difference(young)
         if old and lost:
-            kept = lost.intersection(old)
+            kept = [k for k in lost if k in old]
             young.update(zip(kept, map(old.__getitem__, kept)))
-            lost -= kept
+            lost.difference_update(kept)
         if lost:
             new = list(lost)
             young.update(zip(new, make(new)))

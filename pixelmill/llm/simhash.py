@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .storage import keyed, tidy, written
+from .storage import keyed, small, tidy, written
 
 BITS = 64
 #: Shingles whose bits are counted at once.
@@ -131,8 +131,9 @@ def _classes(made: DataFrame, radius: int, together: int) -> DataFrame:
     """(print, class, component_id) of each fingerprint in (doc_id, fp)."""
     prints = written(made.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
     linked = written(components(fingerprint_links(prints, "fp", radius, together), "a", "b"), "linked")
-    least = linked.join(prints, linked.node == prints.fp).groupBy("root").agg(F.min("rep").alias("least"))
-    ids = prints.join(linked, prints.fp == linked.node, "left").join(least, "root", "left")
+    least = written(linked.join(prints, linked.node == prints.fp).groupBy("root").agg(F.min("rep").alias("least")), "least-ids")
+    # a large component's prints don't meet at its root: the roots are few, or Spark may split the join
+    ids = prints.join(linked, prints.fp == linked.node, "left").join(small(least), "root", "left")
     return written(ids.select(F.col("fp").alias("print"), F.coalesce("root", "fp").alias("class"), F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("least")).alias("component_id")), "classes")
 
 

@@ -116,7 +116,7 @@ def tidy(operator):
     return run
 
 
-#: Rows of one long that every task may be told: some 2 MB as a hash table.
+#: Rows of a long or two that every task may be told: some 2 MB as a hash table.
 SMALL = 1 << 16
 
 
