@@ -21,6 +21,7 @@ from . import fixtures as fx
 from . import jpeg_sql
 from .catalog import add, query
 from .fixtures import sql
+from .pixel_queries import OWN_PALETTE
 
 RGBA = ["r", "g", "b", "a"]
 PX_SQL = "SELECT image_id, x, y, r, g, b, a FROM px"
@@ -347,7 +348,7 @@ add("snk08_png_idat", lambda s, d: images.parts(_png(s, d)).where("kind = 'IDAT'
 add("snk09_crc32", lambda s, d: s.createDataFrame([("123456789",)], "t string").select(F.crc32(F.col("t").cast("binary")).alias("crc")), "SELECT CAST(3421780262 AS BIGINT) AS crc")
 
 
-@query("snk10_gif_own_palette")
+@query("snk10_gif_own_palette", OWN_PALETTE)
 def snk10(spark: SparkSession, d: str) -> DataFrame:
     """A GIF whose palette is made from its image, read again."""
     files = images.encode(_opaque(spark, d), "png", "rgba", RGBA)
@@ -395,5 +396,3 @@ add("snk19_quantise", lambda s, d: fx.gray(s, d).select("x", "y", blocks.rounded
 add("snk21_halve", lambda s, d: blocks.halved(fx.orders(s, d), "r"), sql("SELECT image_id, x // 2 AS x, y // 2 AS y, CAST((sum(r) + 2) // 4 AS BIGINT) AS r FROM px GROUP BY ALL", "px"))
 add("snk23_endings", lambda s, d: s.createDataFrame([(p, images.format_of(p)[0], images.format_of(p)[1].get("quality", 0)) for p in ("a.BMP", "b.jpg", "c.x.jpeg", "d.png", "e.GIF")], "path string, format string, quality int"), "SELECT p AS path, f AS format, CAST(q AS INTEGER) AS quality FROM (VALUES ('a.BMP', 'bmp', 0), ('b.jpg', 'jpeg', 90), ('c.x.jpeg', 'jpeg', 90), ('d.png', 'png', 0), ('e.GIF', 'gif', 0)) t(p, f, q)")
 add("snk23_transcode", lambda s, d: images.decode(datasource.transcode(images.encode(_opaque(s, d), "bmp", "rgba", RGBA), "png")).select(*KEYS, "format", *(F.shiftright(c, 8).alias(c) for c in RGBA)), sql("SELECT image_id, x, y, 'png' AS format, r, g, b, CAST(255 AS BIGINT) AS a FROM px", "px"))
-
-add("q01_palettised", lambda s, d: palette.indexed_by_image(fx.canonical(s, d), quantize.palettes(quantize.histogram(fx.canonical(s, d), premultiplied=False))))

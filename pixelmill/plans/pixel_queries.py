@@ -349,7 +349,33 @@ _BEST = "best AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT {k} AS axis, *
 _HALVES = "half AS (SELECT CASE WHEN CASE axis WHEN 0 THEN br WHEN 1 THEN bg ELSE bb END <= cut THEN 0 ELSE 1 END AS idx, hist.* FROM hist CROSS JOIN best)"
 add("q06_two_colours", lambda s, d: quantize.palettes(_hist(s, d), 2), sql("SELECT CAST(0 AS BIGINT) AS image_id, CAST(idx AS BIGINT) AS idx, " + ", ".join(f"CAST(sum(m{c}) // sum(w) AS BIGINT) AS {c}" for c in "rgb") + ", CAST(255 AS BIGINT) AS a FROM half GROUP BY idx", "px", extra=f"{_HIST}, {_BEST}, {_HALVES}"))
 add("q07_map_two", lambda s, d: quantize.mapped(fx.orders(s, d).where("a > 0"), quantize.tags(_hist(s, d), 2)), sql("SELECT image_id, x, y, CAST(CASE WHEN CASE axis WHEN 0 THEN r >> 3 WHEN 1 THEN g >> 3 ELSE b >> 3 END <= cut THEN 0 ELSE 1 END AS BIGINT) AS tag FROM px CROSS JOIN best WHERE a > 0", "px", extra=f"{_HIST}, {_BEST}"))
-add("q01_quantize", lambda s, d: quantize.palettes(_hist(s, d), 256))
+
+
+def _splits(colours: int = 256) -> str:
+    """Recursive expressions: the bins of ``hist`` with the box they are in after each split, and the last one's palette ``pal``."""
+    sums = " UNION ALL ".join(f"SELECT tag, {k} AS axis, b{c} AS cut, sum(w) AS w, sum(mr) AS mr, sum(mg) AS mg, sum(mb) AS mb FROM state GROUP BY tag, b{c}" for k, c in enumerate("rgb"))
+    upto = ", ".join(f"CAST(sum({c}) OVER (PARTITION BY tag, axis ORDER BY cut) AS BIGINT) AS l{c}, CAST(sum({c}) OVER (PARTITION BY tag, axis) AS BIGINT) AS t{c}" for c in ("w", "mr", "mg", "mb"))
+    best = f"SELECT tag AS cut_tag, axis, cut FROM (SELECT tag, axis, cut, {upto} FROM ({sums})) WHERE lw < tw ORDER BY {_score('l{}', '(t{0} - l{0})')} DESC, tag, axis, cut LIMIT 1"
+    above = "CASE axis WHEN 0 THEN br WHEN 1 THEN bg ELSE bb END > cut"
+    step = f"SELECT step + 1, br, bg, bb, w, mr, mg, mb, CASE WHEN tag = cut_tag AND {above} THEN step ELSE tag END FROM state CROSS JOIN ({best}) WHERE step < {colours}"
+    state = f"state AS (SELECT CAST(1 AS BIGINT) AS step, br, bg, bb, w, mr, mg, mb, CAST(0 AS BIGINT) AS tag FROM hist UNION ALL {step})"
+    means = ", ".join(f"CAST(sum(m{c}) // sum(w) AS BIGINT) AS {c}" for c in "rgb")
+    filled = ", ".join(f"coalesce({c}, 0) AS {c}" for c in "rgb")
+    return f"{state}, pal AS (SELECT i AS idx, {filled}, CAST(255 AS BIGINT) AS a FROM range({colours}) t(i) LEFT JOIN (SELECT tag, {means} FROM state WHERE step = (SELECT max(step) FROM state) GROUP BY tag) ON tag = i)"
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+add("q01_quantize", lambda s, d: quantize.palettes(_hist(s, d), 256), recursive(sql("SELECT CAST(0 AS BIGINT) AS image_id, idx, r, g, b, a FROM pal", "px", extra=f"{_HIST}, {_splits()}")))
+add(
+    "q01_palettised",
+    lambda s, d: palette.indexed_by_image(fx.canonical(s, d), quantize.palettes(quantize.histogram(fx.canonical(s, d), premultiplied=False))),
+    recursive(sql(f"SELECT image_id, x, y, idx FROM (SELECT *, {_CELL_OF} AS cell FROM can) JOIN lut USING (cell)", "can", extra=f"{_UNDIM}, {_HIST.replace('FROM px', 'FROM un')}, {_splits()}, {_CELL_LUT}")),
+)
+#: A file with a palette of its own colours, as it is read again.
+OWN_PALETTE = recursive(sql(f"SELECT p.image_id, p.x, p.y, idx AS c1, pal.r * 257 AS r, pal.g * 257 AS g, pal.b * 257 AS b FROM (SELECT image_id, x, y, {_CELL_OF} AS cell FROM (SELECT image_id, x, y, r * 257 AS r, g * 257 AS g, b * 257 AS b FROM px)) p JOIN lut USING (cell) JOIN pal USING (idx)", "px", extra=f"{_HIST.replace(' WHERE a > 0', '')}, {_splits()}, {_CELL_LUT}"))
 
 # --- the flagship -------------------------------------------------------------------------------
 

@@ -11,8 +11,6 @@ from pixelmill.plans import codec_queries, jpeg_queries, pixel_queries  # noqa:
 from pixelmill.plans.catalog import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-#: Queries that SQL can't express; they have tests of their own.
-ROWS_ONLY = {"q01_quantize", "q01_palettised", "snk10_gif_own_palette"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def duck():
 
 
 def test_all_have_oracles():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+    assert set(QUERIES) == set(ORACLES)
 
 
 def plain(v):
