@@ -168,8 +168,18 @@ class Matcher:
 _MATCHERS: dict = {}
 
 
+def _characters(text: bytes | None, places: list[int]) -> dict[int, int]:
+    """Characters before each of these bytes, in one pass."""
+    out, last, n = {}, 0, 0
+    for p in sorted(set(places)):
+        n += len(text[last:p].decode("utf-8", "replace"))
+        out[p] = n
+        last = p
+    return out
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, tolerance: float = 0.1) -> DataFrame:
-    """One row for each license found: doc_id, start, length (characters of the lines that hold it), license, reduction, edits, exact.
+    """One row for each license found: doc_id, start, length (characters of the lines that hold it), license, reduction, edits, exact, words_start, words_length (characters of its confirmed words).
 
     Whole texts are scanned.  reduction: share of the stretch's compressed size that the template
     saves.  A license is confirmed if at most ``tolerance`` of the template's words differ and no
@@ -179,7 +189,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
     templates = dict(templates or TEMPLATES)
     key = (tuple(sorted(templates.items())), tolerance)
 
-    @F.pandas_udf("array<struct<start: long, length: long, license: string, reduction: double, edits: int, exact: boolean>>")
+    @F.pandas_udf("array<struct<start: long, length: long, license: string, reduction: double, edits: int, exact: boolean, words_start: long, words_length: long>>")
     def found(texts: pd.Series) -> pd.Series:
         if key not in _MATCHERS:
             _MATCHERS[key] = Matcher(templates, tolerance)
@@ -191,8 +201,9 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates:
                 for x in m.matches([t[a:b].decode().lower() for a, b in spans]):
                     a, b = t.rfind(b"\n", 0, spans[x.first][0]) + 1, t.find(b"\n", spans[x.end - 1][1])
                     b = len(t) if b < 0 else b
-                    rows.append((len(t[:a].decode("utf-8", "replace")), len(t[a:b].decode("utf-8", "replace")), x.license, x.reduction, x.edits, x.exact))
-            out.append(rows)
+                    rows.append((a, b, spans[x.first][0], spans[x.end - 1][1], x))
+            at = _characters(t, [v for r in rows for v in r[:4]])
+            out.append([(at[a], at[b] - at[a], x.license, x.reduction, x.edits, x.exact, at[c], at[d] - at[c]) for a, b, c, d, x in rows])
         return pd.Series(out)
 
     return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found(F.col(text).cast("binary"))).alias("x")).select("doc_id", "x.*")
