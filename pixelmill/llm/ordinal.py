@@ -64,7 +64,7 @@ def features(text: bytes | None, bits: int) -> tuple[np.ndarray, int]:
     if not text:
         return np.empty(0, np.int64), 0
     body = text.translate(LOWER)
-    found, n, at = [], 0, 0
+    found, n, at, last = [], 0, 0, -1
     while at < len(body):
         to = min(len(body), at + BLOCK)
         if to < len(body):  # cut at a blank if there is one
@@ -72,6 +72,10 @@ def features(text: bytes | None, bits: int) -> tuple[np.ndarray, int]:
             to = cut + 1 if cut > at else to
         f, k = _block(body[at:to], bits)
         found.append(f)
+        if k:  # the block's first k features are its tokens
+            if f[0] == last:
+                found.append(np.array([REPEAT >> (64 - bits)], np.int64))
+            last = f[k - 1]
         n, at = n + k, to
     return np.concatenate(found), n
 
@@ -135,7 +139,8 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
     """Fit on at most ``max_rows`` rated documents (whole texts), those with the least hash of the id.
 
     Rows with a null id, a null grade or a grade outside 0 .. grades - 1 are left out; without any
-    the weights are 0.
+    the weights are 0.  A document rated several times counts with each rating, an id that several
+    documents have with each of their texts; equal hashes are taken by id, then grade.
     """
     some = ratings.select(F.col(doc_id).alias("i"), F.col(grade).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").between(0, grades - 1))
     some = some.orderBy(F.xxhash64("i"), "i", "y").limit(max_rows)  # a bounded table
@@ -158,7 +163,9 @@ def graded(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5
     """``docs`` with a struct column ``quality_tails`` (or a free name at the end): score, expected, tails, selected.
 
     expected is the mean grade; tails holds P(grade >= j) for j from 1; selected: the last of them
-    is ``least`` or more.  Null and empty texts have no features: score 0.
+    is ``least`` or more.  Null and empty texts have no features: score 0, so the thresholds alone
+    decide (they are kept if ``least`` or more of the rated documents without evidence would have
+    the top grade).  Repeated rows each come back.
     """
     from .storage import free_name
 

@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 
 from pixelmill.llm import decontaminate, gru_lm, language_bits, licenses, line_runs, ordinal
 
@@ -228,6 +229,48 @@ def test_ordinal_model(spark):
     assert not blank.weights.any()
 
 
+def plain_score(text, model):
+    """The score of a text token by token: sums of weights by a polynomial hash, in Python's own numbers."""
+    if not text:
+        return 0.0
+    full = 1 << 64
+    inverse = pow(ordinal.PRIME, -1, full)
+
+    def number(token, salt):
+        h = sum((b + 1) * pow(ordinal.PRIME, i, full) for i, b in enumerate(token)) % full
+        h = (h + salt * 0xD1B54A32D192ED03) % full
+        h ^= h >> 31
+        return (h * 0xBF58476D1CE4E5B9 % full) >> (64 - model.bits)
+
+    assert inverse * ordinal.PRIME % full == 1
+    tokens = [m.group().lower() for m in regex.finditer(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x00-\x20\x7f-\xff]+", text)]
+    found, last = [], None
+    for token in tokens:
+        own = number(token, 0)
+        found += [own] + [number(token[:n], k) for k, n in enumerate((4, 6, 8), 1) if len(token) > n]
+        if own == last:
+            found.append(ordinal.REPEAT >> (64 - model.bits))
+        last = own
+    return float(sum(float(model.weights[f]) for f in found) / math.sqrt(len(tokens))) if tokens else 0.0
+
+
+def test_grades_against_plain_python(spark):
+    """The whole operator, trained, against a version without arrays; nulls, blanks, repeated rows and ids, long texts."""
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(["vile", "Fine", "good", "%%%", "ugly!", "\u00c9t\u00e9", "wonderfully", "a"]) for _ in range(rng.randrange(0, 40))) for _ in range(150)]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (3, "another text of the same id"), (900, "good " * 60_000), *ODD]
+    labels = spark.createDataFrame([(i, (t.count("vile") == 0) + (t.count("good") > 2)) for i, t in enumerate(texts)] + [(3, 0), (3, 0), (None, 2)], "doc_id long, grade int")
+    model = ordinal.train(table(spark, rows), labels)
+    got = ordinal.graded(table(spark, rows), model).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        x = r["quality_tails"]
+        score = plain_score(None if r["text"] is None else r["text"].encode(), model)
+        tails = [1 / (1 + math.exp(c - score)) for c in model.thresholds]
+        assert abs(x["score"] - score) < 1e-6 * max(1, abs(score)) and np.allclose(x["tails"], tails, atol=1e-6)
+        assert abs(x["expected"] - sum(tails)) < 1e-6 and x["selected"] == (x["tails"][-1] >= 0.5)
+
+
 def test_features_do_not_depend_on_blocks(monkeypatch):
     text = b" ".join(b"word%d," % i for i in range(3000))
     whole = np.sort(ordinal.features(text, 18)[0])
@@ -374,6 +417,35 @@ def test_state_is_carried_over_windows():
     assert np.allclose(one, many, rtol=1e-4)
 
 
+def test_scores_against_a_plain_network():
+    """Gates, classes and words one number at a time."""
+    shape = gru_lm.Shape(hidden=3, words=6, in_class=3, rare=2)
+    net = gru_lm.Network(gru_lm.Vocabulary([b"", b"a", b"b", b"c"], [7, 4, 2, 1], 14, 4, [5, 3], shape))
+    rng = np.random.default_rng(9)
+    net.w = {k: x + rng.normal(0, 0.4, x.shape).astype(np.float32) for k, x in net.w.items()}
+    w, n = {k: x.astype(float).tolist() for k, x in net.w.items()}, 3
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    softmax = lambda row: [math.exp(v) / sum(map(math.exp, row)) for v in row]
+
+    def plain(inputs):
+        h, total = [0.0] * n, 0.0
+        for i in inputs:
+            cls = i // 3 if i < 6 else i - 6 + 2
+            total += math.log(softmax([sum(a * b for a, b in zip(row, h)) + c for row, c in zip(w["c"], w["cb"])])[cls])
+            if i < 6:
+                rows = range(cls * 3, cls * 3 + 3)
+                total += math.log(softmax([sum(a * b for a, b in zip(w["o"][r], h)) + w["ob"][r] for r in rows])[i - cls * 3])
+            a = [x + g for x, g in zip(w["x"][i], w["g"])]
+            u = [sum(h[j] * w["u"][j][k] for j in range(n)) for k in range(3 * n)]
+            z, r = ([sigmoid(a[k] + u[k]) for k in range(o, o + n)] for o in (0, n))
+            c = [math.tanh(a[2 * n + k] + r[k] * u[2 * n + k]) for k in range(n)]
+            h = [z[k] * h[k] + (1 - z[k]) * c[k] for k in range(n)]
+        return total
+
+    documents = [rng.integers(0, 8, size) for size in (1, 2, 9, 40, 17)]
+    assert np.allclose(gru_lm.score_documents(net, documents, lanes=2, window=5), [plain(d.tolist()) for d in documents], rtol=1e-4)
+
+
 def test_a_very_long_document_among_short_ones():
     """Memory in proportion to the tokens, the same scores as alone."""
     import tracemalloc
@@ -444,6 +516,9 @@ def test_license_scan(spark):
     assert all(0 < r["reduction"] < 1 for r in got)
     r = rows[1, "MIT-notice"]
     assert docs[0][1][r["start"] : r["start"] + r["length"]] == "Released under the MIT License."
+    for r in got:
+        words = dict(docs[:9])[r["doc_id"]][r["words_start"] :][: r["words_length"]]
+        assert words == words.strip(".\n") and (not r["exact"] or licenses.words_of(words) == licenses.words_of(licenses.TEMPLATES[r["license"]]))
     assert licenses.scan(table(spark, [])).count() == 0
 
 
@@ -473,6 +548,17 @@ def test_all_licenses_of_a_block(spark):
     assert got == Counter(want + [(10 + i, k) for i, k in enumerate(names)] + [(50, "MIT")] * 120)
 
 
+def test_many_hits_in_a_long_text():
+    """Offsets of 2,000 notices in one text of several bytes a character: no work in proportion to hits times text."""
+    text = ("\u4e2d\u6587 \u00e9 " * 40 + "\nReleased under the MIT License.\n") * 2000
+    raw, m = text.encode(), licenses.Matcher(licenses.TEMPLATES)
+    places = [x.start() for x in regex.finditer(rb"Released", raw)]
+    began = time.perf_counter()
+    at = licenses._characters(raw, places)
+    assert time.perf_counter() - began < 2 and all(text[at[p] :].startswith("Released") for p in places[::97])
+    assert sum(len(m.matches([raw[a:b].decode().lower() for a, b in ((w.start(), w.end()) for w in licenses.RUN.finditer(raw, s, e))])) for s, e in licenses.blocks(raw, m.reach)) == 2000
+
+
 def test_differences_against_plain_search():
     def edits(a, b):
         row = list(range(len(b) + 1))
