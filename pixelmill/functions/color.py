@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..weights import CB_BLUE, CB_GREEN, CR_GREEN, CR_RED, LUMA, TO_CB, TO_CR
+
 FULL = 65535
 Channels = tuple[Column, ...]
 
@@ -37,12 +39,6 @@ def wide(c) -> Column:
     return num(c) * 257
 
 
-# Weights of luma and chroma, as multiples of 2**-16.
-LUMA = (19595, 38470, 7471)
-TO_CB, TO_CR = (-11056, -21712, 32768), (32768, -27440, -5328)
-CR_RED, CB_GREEN, CR_GREEN, CB_BLUE = 91881, 22554, 46802, 116130
-
-
 def _weighted(weights, channels, plus: int) -> Column:
     return sum((w * num(c) for w, c in zip(weights, channels)), num(plus))
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..weights import CB_BLUE, CB_GREEN, CR_GREEN, CR_RED
 from .codecs import bmp, gif, jpeg, png
 from .codecs.base import Config, FormatError, Raster
 
@@ -89,7 +90,7 @@ def canonical(image: Raster) -> np.ndarray:
         return np.dstack((y, y, y, full))
     if image.model == "ycbcr":
         luma, blue, red = p[:, :, 0] * 0x10101, p[:, :, 1] - 128, p[:, :, 2] - 128
-        mixed = (luma + 91881 * red, luma - 22554 * blue - 46802 * red, luma + 116130 * blue)
+        mixed = (luma + CR_RED * red, luma - CB_GREEN * blue - CR_GREEN * red, luma + CB_BLUE * blue)
         return np.dstack([*(np.clip(v >> 8, 0, 65535) for v in mixed), full])
     if image.model == "cmyk":
         return np.dstack(((65535 - p[:, :, :3] * 257) * (65535 - p[:, :, 3:] * 257) // 65535, full))
