@@ -35,6 +35,12 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).select(*KEYS, *(v.alias(c) for c, v in zip("rgba", from_nrgba("r", "g", "b", "a"))))
 
 
+def many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`orders` cut into images of seven rows, opaque."""
+    px = orders(spark, sf_dir)
+    return px.select(F.floor(F.col("y") / 7).alias("image_id"), "x", (F.col("y") % 7).alias("y"), "r", "g", "b", num(255).alias("a"))
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """50 pixels wide, opaque, bytes."""
     t = table(spark, sf_dir, "customer")
@@ -63,6 +69,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "px": "px AS (SELECT CAST(0 AS BIGINT) AS image_id, o_orderkey % 100 AS x, o_orderkey // 100 AS y, CAST(floor(o_totalprice) AS BIGINT) % 256 AS r, o_custkey % 256 AS g, CAST(floor(o_totalprice * 7) AS BIGINT) % 256 AS b, CAST(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 255 WHEN '2' THEN 192 WHEN '3' THEN 128 WHEN '4' THEN 64 ELSE 0 END AS BIGINT) AS a FROM orders)",
     "can": "can AS (SELECT image_id, x, y, r * 257 * a // 255 AS r, g * 257 * a // 255 AS g, b * 257 * a // 255 AS b, a * 257 AS a FROM px)",
+    "many": "many AS (SELECT y // 7 AS image_id, x, y % 7 AS y, r, g, b, CAST(255 AS BIGINT) AS a FROM px)",
     "cust": "cust AS (SELECT CAST(0 AS BIGINT) AS image_id, c_custkey % 50 AS x, c_custkey // 50 AS y, ((CAST(floor(c_acctbal) AS BIGINT) % 256) + 256) % 256 AS r, CAST(c_nationkey * 10 % 256 AS BIGINT) AS g, ((CAST(floor(c_acctbal * 3) AS BIGINT) % 256) + 256) % 256 AS b, CAST(255 AS BIGINT) AS a FROM customer)",
     "dst": "dst AS (SELECT image_id, x, y, r * 257 AS r, g * 257 AS g, b * 257 AS b, a * 257 AS a FROM cust)",
     "gray": "gray AS (SELECT CAST(0 AS BIGINT) AS image_id, CAST(i - 1 AS BIGINT) AS x, vec_id AS y, CAST(least(greatest(floor((CAST(embedding[i] AS DOUBLE) + 1) * 127.5), 0), 255) AS BIGINT) AS g FROM (SELECT vec_id, embedding, unnest(generate_series(1, len(embedding))) AS i FROM embeddings))",
@@ -70,7 +77,7 @@ SQL = {
     "box": "box AS (SELECT event_id AS box_id, event_id % 200 AS x0, event_id // 200 AS y0, event_id % 200 + 1 + user_id % 16 AS x1, event_id // 200 + 1 + CAST(floor(value) AS BIGINT) % 16 AS y1, event_type AS kind FROM events)",
 }
 #: What each expression reads.
-NEEDS = {"can": ["px"], "dst": ["cust"]}
+NEEDS = {"can": ["px"], "dst": ["cust"], "many": ["px"]}
 
 
 def sql(body: str, *names: str, extra: str = "") -> str:

@@ -31,6 +31,16 @@ add("src26_jpeg_round_trip", lambda s, d: _samples(images.encode(_opaque(s, d),
 add("src26_jpeg_gray", lambda s, d: _samples(images.encode(fx.orders(s, d), "jpeg", "gray", ["g"], quality=95), 1), sql(q.GRAY_OUT, "px", extra=q.gray(95)))
 add("snk22_jpeg_padding", lambda s, d: _samples(images.encode(fx.customers(s, d), "jpeg", "rgba", RGBA, quality=80), 3), sql(q.COLOR_OUT.format("cust"), "cust", extra=q.color(80, "cust")))
 
+# many images at once: each is a group of its own, bands and blocks of all are coded side by side
+for _format in ("bmp", "png"):
+    add(
+        f"snk_many_images_{_format}",
+        lambda s, d, f=_format: images.decode(images.encode(fx.many(s, d), f, "rgba", RGBA)).select(*KEYS, F.col("c1").alias("r"), F.col("c2").alias("g"), F.col("c3").alias("b")),
+        sql("SELECT image_id, x, y, r, g, b FROM many", "many"),
+    )
+add("snk_many_images_gif", lambda s, d: _samples(images.encode(fx.many(s, d), "gif", "paletted", ["g"], np.array([[i, i, i] for i in range(256)])), 1), sql("SELECT image_id, x, y, g AS c1 FROM many", "many"))
+add("snk_many_images_jpeg", lambda s, d: _samples(images.encode(fx.many(s, d), "jpeg", "rgba", RGBA, quality=70), 3), sql(q.COLOR_OUT.format("many"), "many", extra=q.color(70, "many")))
+
 _QUALITIES = (0, 1, 49, 50, 75, 100)
 
 
