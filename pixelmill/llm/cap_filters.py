@@ -5,7 +5,7 @@ directions.  A filter is one direction per block; a vector passes it if the inne
 them, summed, are ``bar`` or more; several such codes, each with its own rotation, are used.  The list of all filters that a vector passes is decoded block
 by block: a part is dropped as soon as the best the other blocks can add stays under the bar.
 Near vectors share a filter with high probability.  What meets in a filter is an id and the signs
-of 64 random projections; pairs whose signs differ in few places are joined with their vectors and
+of 128 random projections; pairs whose signs differ in few places are joined with their vectors and
 verified in doubles.  Only filters in which near pairs are many, those of a large group of near
 vectors, bring the vectors together, and there links are counted instead of listed.
 """
@@ -125,13 +125,14 @@ def chosen(n: int, dim: int, cosine: float, recall: float = 0.995, together: int
     return Code(1, 1, 1)
 
 
-SIGNS = 64
+#: Random directions of a sketch; vectors in one filter are alike to begin with, so 64 would let one in six of them pass.
+SIGNS = 128
 
 
 def signs(x: np.ndarray, seed: int = 13) -> np.ndarray:
-    """The signs of each row's inner products with 64 random directions, as a long."""
+    """The signs of each row's inner products with ``SIGNS`` random directions, as longs."""
     planes = np.random.default_rng((seed, x.shape[1])).standard_normal((x.shape[1], SIGNS))
-    return np.packbits(x @ planes > 0, axis=1, bitorder="little").view("<i8").ravel()
+    return np.packbits(x @ planes > 0, axis=1, bitorder="little").view("<i8")
 
 
 def signs_apart(cosine: float, lost: float = 1e-4) -> int:
@@ -150,7 +151,7 @@ def usable(vector: Column) -> Column:
 
 
 def _decoded(vectors: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """(c, n, dim, signs, filters): a row for each class with all filters that it passes."""
+    """(c, n, dim, s0, s1, filters): a row for each class with all filters that it passes."""
 
     def decode(batches):
         for b in batches:
@@ -169,9 +170,10 @@ def _decoded(vectors: DataFrame, codes: dict[int, Code]) -> DataFrame:
                     i, f = code.lists(x, parts)
                     sizes = np.bincount(i, minlength=len(rows))
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(f, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(c[rows]), pa.array(n[rows]), pa.array(np.full(len(rows), dim, np.int32)), pa.array(signs(x)), lists], names=["c", "n", "dim", "signs", "filters"])
+                    s0, s1 = (pa.array(np.ascontiguousarray(s)) for s in signs(x).T)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[rows]), pa.array(n[rows]), pa.array(np.full(len(rows), dim, np.int32)), s0, s1, lists], names=["c", "n", "dim", "s0", "s1", "filters"])
 
-    out = vectors.select("c", "n", "vec").mapInArrow(decode, "c long, n long, dim int, signs long, filters array<long>")
+    out = vectors.select("c", "n", "vec").mapInArrow(decode, "c long, n long, dim int, s0 long, s1 long, filters array<long>")
     return written(out, "decoded")
 
 
@@ -181,11 +183,10 @@ def _near(apart: int, dense: int):
     def group(table: pa.Table) -> pa.Table:
         f, one, two = (table[k][0].as_py() for k in ("f", "one", "two"))
         order = np.argsort(table["c"].to_numpy())
-        c, s, part = (table[k].to_numpy()[order] for k in ("c", "signs", "part"))
-        s = s.view(np.uint64)
+        c, part, *words = (table[k].to_numpy()[order] for k in ("c", "part", "s0", "s1"))
         a, b = [], []
         for at in range(0, len(c), 256):
-            near = np.bitwise_count(s[at : at + 256, None] ^ s[None, :]) <= apart
+            near = sum(np.bitwise_count((s[at : at + 256, None] ^ s[None, :]).view(np.uint64)) for s in words) <= apart
             if one != two:
                 near &= part[at : at + 256, None] != part[None, :]
             i, j = np.nonzero(near)
@@ -295,7 +296,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     sizes = {r[0]: r[1] for r in classes.groupBy(F.size("vec")).count().collect()}  # a row for each length of vectors
     codes = {dim: chosen(n, dim, cosine, recall) for dim, n in sizes.items()}
     decoded = _decoded(classes, codes)
-    listed = decoded.select("dim", "c", "signs", F.explode("filters").alias("f"))
+    listed = decoded.select("dim", "c", "s0", "s1", F.explode("filters").alias("f"))
     crowded = listed.groupBy("dim", "f").agg(F.count("*").alias("m")).where(F.col("m") > together)
     crowded = written(crowded.select(F.col("dim").alias("d2"), F.col("f").alias("f2"), F.ceil(F.col("m") / together).cast("int").alias("parts")), "crowded")
 
@@ -311,7 +312,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     pairs = met.where("a >= 0").groupBy("a", "b").agg(F.min("f").alias("f"))
     sparse = written(_linked(pairs, whole, cosine), "pairs")
     hot = written(met.where("a < 0").select(F.col("dim").alias("d3"), F.col("f").alias("f3"), F.col("one").alias("u1"), F.col("two").alias("u2")), "dense")
-    hot_rows = dealt(listed.drop("signs").join(hot.select(F.col("d3").alias("d4"), F.col("f3").alias("f4")).distinct(), (F.col("dim") == F.col("d4")) & (F.col("f") == F.col("f4")), "left_semi"))
+    hot_rows = dealt(listed.drop("s0", "s1").join(hot.select(F.col("d3").alias("d4"), F.col("f3").alias("f4")).distinct(), (F.col("dim") == F.col("d4")) & (F.col("f") == F.col("f4")), "left_semi"))
     hot_rows = hot_rows.join(hot, (F.col("dim") == F.col("d3")) & (F.col("f") == F.col("f3")) & (F.col("one") == F.col("u1")) & (F.col("two") == F.col("u2")), "left_semi")
     hot_rows = hot_rows.join(whole.select(F.col("c").alias("c5"), "n", "vec", "filters"), F.col("c") == F.col("c5")).drop("c5")
     found = written(hot_rows.groupBy("dim", "f", "one", "two").applyInArrow(_verify(cosine), "c long, other long, links long"), "verified")

@@ -138,9 +138,9 @@ def test_signs():
     rng = np.random.default_rng(5)
     x = planted(4000, 32, [0.95], rng).astype(np.float64)
     s = cap_filters.signs(x).view(np.uint64)
-    apart = np.bitwise_count(s[:2000] ^ s[2000:])
-    assert (apart <= cap_filters.signs_apart(0.95)).mean() >= 0.999
-    assert cap_filters.signs_apart(1.0) == 0 and (np.bitwise_count(s[:1999] ^ s[1:2000]) <= cap_filters.signs_apart(0.95)).mean() < 0.01
+    apart = np.bitwise_count(s[:2000] ^ s[2000:]).sum(axis=1)
+    assert s.shape == (4000, 2) and (apart <= cap_filters.signs_apart(0.95)).mean() >= 0.999
+    assert cap_filters.signs_apart(1.0) == 0 and (np.bitwise_count(s[:1999] ^ s[1:2000]).sum(axis=1) <= cap_filters.signs_apart(0.95)).mean() < 0.001
 
 
 TEXTS = [(None, "no id"), (1, None), (2, ""), (3, "Hello, world! it's 2024"), (3, "Hello, world! it's 2024"), (4, "a\x1cb c's don't İstanbul <|endoftext|> é ǆ"), (5, " ".join(f"token{i}x" for i in range(4000)))]
