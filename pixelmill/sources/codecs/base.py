@@ -17,7 +17,7 @@ class UnsupportedError(ValueError):
 
 @dataclass
 class Raster:
-    """One image: channels of ``model`` as int64 (height, width, n); paletted ones have the index as the only channel."""
+    """One image: channels of ``model`` as integers that hold them (height, width, n); paletted ones have the index as the only channel."""
 
     model: str
     pixels: np.ndarray

@@ -7,6 +7,7 @@ one image and one batch; a bad file gives an error row, an exception or nothing,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,13 @@ def _failures(data: bytes | None, mode: str, work):
 
 
 def _pixel_batches(image_id, fmt: str, no: int, image: Raster) -> Iterator[pa.RecordBatch]:
-    colours, step = canonical(image), max(1, BATCH // max(1, image.width))
+    step = max(1, BATCH // max(1, image.width))
+    if image.model == "paletted" and image.pixels.size:
+        image.palette[image.pixels.max()]  # an index outside the palette is an error before the first batch
     k = image.pixels.shape[2]
     for top in range(0, image.height, step):
-        part, rows = image.pixels[top : top + step], colours[top : top + step].reshape(-1, 4)
+        part = image.pixels[top : top + step]
+        rows = canonical(replace(image, pixels=part)).reshape(-1, 4)
         n = len(rows)
         y, x = np.divmod(np.arange(n), image.width)
         raw = part.reshape(n, k)

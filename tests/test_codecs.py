@@ -1,6 +1,7 @@
 """Kernels on hand-made bytes, and against the JVM's own image readers and writers."""
 
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pixelmill.sources import registry
-from pixelmill.sources import bands
+from pixelmill.sources import bands, images
 from pixelmill.sources.codecs import bmp, gif, jpeg, png
 from pixelmill.sources.codecs.base import FormatError, Raster, UnsupportedError
 
@@ -232,3 +233,37 @@ def test_bands_are_the_whole_image(spark, fmt, model, channels, case):
         assert one.model == other.model and np.array_equal(one.pixels, other.pixels)
         if fmt == "bmp":
             assert files[image] == alone
+
+
+def peak(work) -> int:
+    """Bytes held at most while ``work()`` runs."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_png_16_bit_memory():
+    rows = np.random.default_rng(5).integers(0, 256, (10_000, 800)).astype(np.uint8)  # 100 pixels of four 16-bit channels
+    for kind in range(5):
+        assert peak(lambda: png.filtered(rows, kind, 8)) < 8 * rows.size
+    data = png.encode_rows(png.filtered(rows, 4, 8)[:500], 100, 500, 16, 6)
+    assert peak(lambda: png.decode(data)) < 8 * 500 * 800
+    assert np.array_equal(png.decode(data).pixels, rows[:500].reshape(500, 100, 4, 2) @ np.array([256, 1]))
+
+
+def test_filters_over_a_step():
+    rows = np.random.default_rng(6).integers(0, 256, (3 * png.STEP // 800, 800)).astype(np.uint8)
+    for kind in range(5):
+        whole = png.filtered(rows, kind, 8)
+        assert np.array_equal(png.unfilter(whole[:400], 8), rows[:400])
+        assert np.array_equal(whole[400:], png.filtered(rows[399:], kind, 8)[1:])
+
+
+def test_index_outside_the_palette(spark):
+    data = gif.encode(np.array([[0, 1], [2, 200]]), np.zeros((256, 3)))
+    short = data[:10] + bytes([0xF0]) + data[11:13] + data[13:19] + data[13 + 768 :]  # two entries
+    rows = images.decode(spark.createDataFrame([(1, bytearray(short))], "image_id long, content binary")).collect()
+    assert len(rows) == 1 and rows[0]["error"].startswith("IndexError")
