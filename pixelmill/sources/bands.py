@@ -3,6 +3,9 @@
 Pixel rows don't cross an exchange one by one: a batch is sorted into runs of neighbours, and a
 run is one row with its bytes.  A band's codes end on a byte and leave the coder in its first
 state, so that bands can be joined: GIF codes by clear codes, deflate by a full flush.
+
+GIF and JPEG headers have 16 bits for the height.  A higher image becomes several files, its pages,
+each with the image row it starts at (``top``); readers of such files put them together again.
 """
 
 from __future__ import annotations
@@ -20,9 +23,28 @@ from .codecs.base import Raster
 
 #: Rows of an image in one band.
 ROWS = 64
+#: Rows a file can have, where its header bounds them, and rows of a page of a higher image: a multiple of every block's height.
+MOST, PAGE = {"gif": 65535, "jpeg": 65535}, 1 << 14
+FILES = "image_id long, content binary, top long"
 RUNS = "image_id long, band long, y long, x long, n int, data binary"
 
 
+def limits(fmt: str | None) -> tuple[int, int]:
+    """(rows a file can have, rows of a page), for :func:`cut`."""
+    return MOST.get(fmt, 1 << 62), PAGE
+
+
+def cut(high: int, limit: tuple[int, int]) -> list[tuple[int, int]]:
+    """First row and row after the last one of each file of an image."""
+    most, page = limit
+    return [(0, high)] if high <= most else [(a, min(a + page, high)) for a in range(0, high, page)]
+
+
+def files(image_id, pages: list[tuple[int, bytes]]) -> pa.Table:
+    """Rows of ``FILES`` from (top, file)."""
+    return pa.table({"image_id": pa.array([image_id] * len(pages), pa.int64()), "content": pa.array([p for _, p in pages], pa.binary()), "top": pa.array([t for t, _ in pages], pa.int64())})
+
+
 def sample_type(model: str) -> np.dtype:
     return np.dtype("<u2" if model in ("rgba64", "gray16") else np.uint8)
 
@@ -125,8 +147,8 @@ def coded(packed: DataFrame, fmt: str, model: str, channels: int, palette: np.nd
     return packed.groupBy("image_id", "band").applyInArrow(code, BAND)
 
 
-def file_of(bands: pa.Table, fmt: str, model: str, channels: int, palette: np.ndarray | None, compress: bool) -> bytes:
-    """A file of all bands of an image.
+def files_of(bands: pa.Table, fmt: str, model: str, channels: int, palette: np.ndarray | None, compress: bool, limit: tuple[int, int]) -> pa.Table:
+    """The file of all bands of an image, or its pages.
 
     Usually they have the same columns and no row is missing; else (a raster with holes at its
     edges) they are opened and coded again as one.
@@ -134,21 +156,40 @@ def file_of(bands: pa.Table, fmt: str, model: str, channels: int, palette: np.nd
     rows = sorted(bands.to_pylist(), key=lambda r: r["y"])
     wide, high = rows[0]["wide"], sum(r["high"] for r in rows)
     if all(r["x"] == rows[0]["x"] and r["wide"] == wide for r in rows) and all(a["y"] + a["high"] == b["y"] for a, b in zip(rows, rows[1:])):
-        return _file(fmt, model, wide, high, [(r["payload"], r["checksum"], r["size"]) for r in rows], palette)
+        pages = _pages(rows, high, limit)
+        if pages:
+            return files(rows[0]["image_id"], [(p[0]["y"] - rows[0]["y"], _file(fmt, model, wide, sum(r["high"] for r in p), [(r["payload"], r["checksum"], r["size"]) for r in p], palette)) for p in pages])
     x0, y0 = min(r["x"] for r in rows), rows[0]["y"]
     wide, high = max(r["x"] + r["wide"] for r in rows) - x0, max(r["y"] + r["high"] for r in rows) - y0
     hole = _samples(fmt, Raster(model, np.zeros((1, 1, channels), sample_type(model)), palette))
     full = np.tile(hole, (high, wide, 1))
     for r in rows:
         full[r["y"] - y0 : r["y"] - y0 + r["high"], r["x"] - x0 : r["x"] - x0 + r["wide"]] = _opened(fmt, r["payload"], r["wide"], r["high"])
-    return _file(fmt, model, wide, high, [_coded(fmt, full, compress)], palette)
+    return files(rows[0]["image_id"], [(a, _file(fmt, model, wide, b - a, [_coded(fmt, full[a:b], compress)], palette)) for a, b in cut(high, limit)])
+
+
+def _pages(rows: list[dict], high: int, limit: tuple[int, int]) -> list[list[dict]]:
+    """Bands by the page they go to; nothing if a band is too high for a page."""
+    if high <= limit[0]:
+        return [rows]
+    if max(r["high"] for r in rows) > limit[1]:
+        return []
+    out, room = [], 0
+    for r in rows:
+        if r["high"] > room:
+            out.append([])
+            room = limit[1]
+        out[-1].append(r)
+        room -= r["high"]
+    return out
 
 
 def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette: np.ndarray | None = None, compress: bool = True, rows: int = ROWS) -> DataFrame:
-    """(image_id, content): gif, png or bmp files; one task joins the bytes of an image's bands."""
+    """(image_id, content, top): gif, png or bmp files; one task joins the bytes of an image's bands."""
+    limit = limits(fmt)
 
     def join(table: pa.Table) -> pa.Table:
-        return pa.table({"image_id": table["image_id"][:1], "content": pa.array([file_of(table, fmt, model, len(channels), palette, compress)], pa.binary())})
+        return files_of(table, fmt, model, len(channels), palette, compress, limit)
 
     bands = coded(runs(pixels, channels, model, rows), fmt, model, len(channels), palette, compress)
-    return bands.groupBy("image_id").applyInArrow(join, "image_id long, content binary")
+    return bands.groupBy("image_id").applyInArrow(join, FILES)

@@ -83,15 +83,15 @@ def install(spark: SparkSession) -> None:
 
 
 def write(pixels: DataFrame, path: str, ending: str, model: str, channels: list[str], palette: np.ndarray | None = None) -> None:
-    """Each image of a pixel table as ``path``/<image_id>.<ending>."""
+    """Each image of a pixel table as ``path``/<image_id>.<ending>; pages after an image's first one as <image_id>-<top>.<ending>."""
     fmt, options = images.format_of(f"x.{ending}")
     install(pixels.sparkSession)
     files = images.encode(pixels, fmt, model, channels, palette, **options)
-    files.select(F.concat(F.col("image_id").cast("string"), F.lit(f".{ending}")).alias("name"), "content").write.format("raster").mode("append").save(path)
+    files.select(F.concat(F.col("image_id").cast("string"), F.when(F.col("top") > 0, F.concat(F.lit("-"), F.col("top"))).otherwise(""), F.lit(f".{ending}")).alias("name"), "content").write.format("raster").mode("append").save(path)
 
 
 def transcode(files: DataFrame, ending: str) -> DataFrame:
-    """(image_id, content) of other files in the format of ``ending``; bad files are left out.
+    """(image_id, content, top) of other files in the format of ``ending``; bad files are left out.
 
     Pixels pass in canonical form; a GIF gets a palette of its own colours by quantisation.
     """

@@ -1,6 +1,7 @@
 """Encoded images as tables: sniffing, headers, pixels, container parts; and back to bytes.
 
-Files are rows (image_id, content).  Decoding emits pixels in batches of rows, so that memory holds
+Files are rows (image_id, content); with ``top`` too if an image may be in several files, its pages
+(see :mod:`.bands`), which readers here put together.  Decoding emits pixels in batches of rows, so that memory holds
 one image and one batch; a bad file gives an error row, an exception or nothing, as ``mode`` says.
 """
 
@@ -38,7 +39,7 @@ def _failures(data: bytes | None, mode: str, work):
             yield None, f"{type(e).__name__}: {e}"
 
 
-def _pixel_batches(image_id, fmt: str, no: int, image: Raster) -> Iterator[pa.RecordBatch]:
+def _pixel_batches(top_row: int, fmt: str, no: int, image: Raster) -> Iterator[pa.RecordBatch]:
     step = max(1, BATCH // max(1, image.width))
     if image.model == "paletted" and image.pixels.size:
         image.palette[image.pixels.max()]  # an index outside the palette is an error before the first batch
@@ -50,7 +51,7 @@ def _pixel_batches(image_id, fmt: str, no: int, image: Raster) -> Iterator[pa.Re
         y, x = np.divmod(np.arange(n), image.width)
         raw = part.reshape(n, k)
         own = [pa.array(raw[:, i].astype(np.int64)) if i < k else pa.nulls(n, pa.int64()) for i in range(4)]
-        columns = [pa.array([image_id] * n, pa.int64()), pa.array(np.full(n, no, np.int32)), pa.array([fmt] * n), pa.array([image.model] * n), pa.array(x + image.x0), pa.array(y + top + image.y0), *own, *(pa.array(rows[:, i]) for i in range(4)), pa.array(np.full(n, image.truncated)), pa.nulls(n, pa.string())]
+        columns = [pa.nulls(n, pa.int64()), pa.array(np.full(n, no, np.int32)), pa.array([fmt] * n), pa.array([image.model] * n), pa.array(x + image.x0), pa.array(y + top + image.y0 + top_row), *own, *(pa.array(rows[:, i]) for i in range(4)), pa.array(np.full(n, image.truncated)), pa.nulls(n, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=_names())
 
 
@@ -72,7 +73,9 @@ def decode(files: DataFrame, mode: str = "PERMISSIVE", max_frames: int | None =
     if mode not in MODES:
         raise ValueError(f"mode is one of {MODES}")
 
-    def work(data: bytes):
+    paged = "top" in files.columns
+
+    def work(data: bytes, top: int):
         f = sniffed(data)
         if f.name == "gif":
             frames = gif.frames(data, max_frames)
@@ -84,24 +87,26 @@ def decode(files: DataFrame, mode: str = "PERMISSIVE", max_frames: int | None =
         if not found:
             raise FormatError(f"{f.name}: no image")
         for no, image in enumerate(found):
-            for b in _pixel_batches(None, f.name, no, image):
+            for b in _pixel_batches(top, f.name, no, image):
                 yield b
 
     def rows(batches):
         for b in batches:
-            paths = b.column(2).to_pylist() if with_path else [None] * b.num_rows
-            for key, content, path in zip(b.column(0).to_pylist(), b.column(1), paths):
-                for made, error in _failures(content.as_py(), mode, work):
+            paths = b.column("path").to_pylist() if with_path else [None] * b.num_rows
+            tops = b.column("top").to_pylist() if paged else [0] * b.num_rows
+            for key, content, path, top in zip(b.column(0).to_pylist(), b.column(1), paths, tops):
+                for made, error in _failures(content.as_py(), mode, lambda data, top=top: work(data, top)):
                     made = _error(key, error) if error else made
                     n = made.num_rows
                     extra = [pa.array([path] * n, pa.string())] if with_path else []
                     yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), *made.columns[1:], *extra], names=_names() + ["path"] * with_path)
 
-    return files.select(F.col("image_id").cast("long"), "content", *["path"] * with_path).mapInArrow(rows, PIXELS + ", path string" * with_path)
+    return files.select(F.col("image_id").cast("long"), "content", *["path"] * with_path, *["top"] * paged).mapInArrow(rows, PIXELS + ", path string" * with_path)
 
 
 def parts(files: DataFrame, verify: bool = False) -> DataFrame:
-    """Container parts: (image_id, part, kind, place, length, checksum_ok, error) of PNG chunks, JPEG segments, GIF frames."""
+    """Container parts: (image_id, part, kind, place, length, checksum_ok, error) of PNG chunks, JPEG segments, GIF frames; of each page with its ``top``."""
+    paged = "top" in files.columns
 
     def work(data: bytes):
         name = sniffed(data).name
@@ -121,17 +126,17 @@ def parts(files: DataFrame, verify: bool = False) -> DataFrame:
     def rows(batches):
         for b in batches:
             out = []
-            for key, content in zip(b.column(0).to_pylist(), b.column(1)):
-                out += [(key, i, *(row or (None,) * 4), error) for i, (row, error) in enumerate(_failures(content.as_py(), "PERMISSIVE", work))]
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
-            names = ["image_id", "part", "kind", "place", "length", "checksum_ok", "error"]
+            for key, content, *top in zip(b.column(0).to_pylist(), b.column(1), *[b.column(2).to_pylist() for _ in range(paged)]):
+                out += [(key, i, *(row or (None,) * 4), error, *top) for i, (row, error) in enumerate(_failures(content.as_py(), "PERMISSIVE", work))]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), *[pa.int64()] * paged]
+            names = ["image_id", "part", "kind", "place", "length", "checksum_ok", "error", *["top"] * paged]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(rows, "image_id long, part int, kind string, place long, length long, checksum_ok boolean, error string")
+    return files.select(F.col("image_id").cast("long"), "content", *["top"] * paged).mapInArrow(rows, "image_id long, part int, kind string, place long, length long, checksum_ok boolean, error string" + ", top long" * paged)
 
 
 def palettes(files: DataFrame) -> DataFrame:
-    """(image_id, idx, r, g, b, a): the palette of each paletted file's first image."""
+    """(image_id, idx, r, g, b, a): the palette of each paletted file's first image; pages of an image with the same one count once."""
 
     def rows(batches):
         for b in batches:
@@ -143,7 +148,8 @@ def palettes(files: DataFrame) -> DataFrame:
                     break
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(6)], names=["image_id", "idx", "r", "g", "b", "a"])
 
-    return files.select(F.col("image_id").cast("long"), "content").mapInArrow(rows, "image_id long, idx long, r long, g long, b long, a long")
+    found = files.select(F.col("image_id").cast("long"), "content").mapInArrow(rows, "image_id long, idx long, r long, g long, b long, a long")
+    return found.distinct() if "top" in files.columns else found
 
 
 # --- headers by expressions ---------------------------------------------------------------------
@@ -166,7 +172,7 @@ def configs(files: DataFrame) -> DataFrame:
     """(image_id, format, color_model, width, height) from headers alone.
 
     BMP, PNG and GIF headers are at fixed places and read by expressions; a JPEG's frame header has
-    to be looked for, by a function that stops there.
+    to be looked for, by a function that stops there.  Heights of an image's pages are added.
     """
 
     @F.pandas_udf("struct<model: string, width: long, height: long>")
@@ -197,14 +203,17 @@ def configs(files: DataFrame) -> DataFrame:
         F.when(is_("bmp"), F.abs(_signed(little(c, 22, 4)))).when(is_("png"), big(c, 20, 4)).when(is_("gif"), little(c, 8, 2)).alias("height"),
     )
     found = named.where(is_("jpeg")).withColumn("h", jpeg_config("content"))
-    return fixed.unionByName(found.select("image_id", "format", F.col("h.model").alias("color_model"), "h.width", "h.height"))
+    out = fixed.unionByName(found.select("image_id", "format", F.col("h.model").alias("color_model"), "h.width", "h.height"))
+    return out.groupBy("image_id", "format", "color_model", "width").agg(F.sum("height").alias("height")) if "top" in files.columns else out
 
 
 # --- sinks --------------------------------------------------------------------------------------
 
 
 def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette: np.ndarray | None = None, quality: int = 75, compress: bool = True) -> DataFrame:
-    """(image_id, content): each image of a pixel table as a file; its rows may come in any order, missing pixels are 0.
+    """(image_id, content, top): each image of a pixel table as a file; its rows may come in any order, missing pixels are 0.
+
+    A gif or jpeg of over 65535 rows isn't possible: such an image becomes pages, each with its first row as ``top``.
 
     gif, png and bmp are coded in bands of rows, each in a task of its own.  A jpeg's blocks are
     coded one after the other, so its packed runs meet in one task.  gif takes paletted pixels
@@ -215,25 +224,28 @@ def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette
     if fmt != "jpeg":
         raise ValueError(f"no such format: {fmt}")
 
+    limit = bands.limits(fmt)
+
     def write(table: pa.Table) -> pa.Table:
-        image = Raster(model, bands.assembled(table, len(channels), model)[2], palette)
-        return pa.table({"image_id": table["image_id"][:1], "content": pa.array([jpeg.encode(image, quality)], pa.binary())})
+        samples = bands.assembled(table, len(channels), model)[2]
+        return bands.files(table["image_id"][0].as_py(), [(a, jpeg.encode(Raster(model, samples[a:b], palette), quality)) for a, b in bands.cut(len(samples), limit)])
 
-    return bands.runs(pixels, channels, model, None).groupBy("image_id").applyInArrow(write, "image_id long, content binary")
+    return bands.runs(pixels, channels, model, None).groupBy("image_id").applyInArrow(write, bands.FILES)
 
 
 def encode_gif(indexed: DataFrame, palettes_by_image: DataFrame) -> DataFrame:
-    """(image_id, content): GIFs of (image_id, x, y, idx), each with its palette (image_id, idx, r, g, b)."""
+    """(image_id, content, top): GIFs of (image_id, x, y, idx), each with its palette (image_id, idx, r, g, b)."""
+    limit = bands.limits("gif")
 
     def write(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({"image_id": pa.array([], pa.int64()), "content": pa.array([], pa.binary())})
+            return bands.files(None, [])
         order = np.argsort(right["idx"].to_numpy())
         table = np.column_stack([right[c].to_numpy()[order] for c in "rgb"])
-        return pa.table({"image_id": left["image_id"][:1], "content": pa.array([bands.file_of(left, "gif", "paletted", 1, table, True)], pa.binary())})
+        return bands.files_of(left, "gif", "paletted", 1, table, True, limit)
 
     own = bands.coded(bands.runs(indexed, ["idx"], "paletted"), "gif", "paletted", 1)
-    return own.groupBy("image_id").cogroup(palettes_by_image.groupBy("image_id")).applyInArrow(write, "image_id long, content binary")
+    return own.groupBy("image_id").cogroup(palettes_by_image.groupBy("image_id")).applyInArrow(write, bands.FILES)
 
 
 #: File endings: format and options, as the command line of an image converter would choose.
