@@ -57,6 +57,7 @@ def test_pages_have_names_of_their_own(spark, tmp_path):
 #: Queries whose files need pages once orders fill more than 65535 rows.
 PAGED = [
     "snk10_gif_own_palette",
+    "snk13_literal_codes",
 ]
 
 
