@@ -60,6 +60,7 @@ PAGED = [
     "snk13_literal_codes",
     "src02_sniff",
     "src20_gif_first_frame",
+    "src23_gif_extensions",
 ]
 
 
