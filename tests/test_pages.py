@@ -62,6 +62,7 @@ PAGED = [
     "src20_gif_first_frame",
     "src23_gif_extensions",
     "src30_jpeg_tables",
+    "snk11_gif_given_palette",
 ]
 
 
