@@ -63,6 +63,7 @@ PAGED = [
     "src23_gif_extensions",
     "src30_jpeg_tables",
     "snk11_gif_given_palette",
+    "src21_gif_all_frames",
 ]
 
 
