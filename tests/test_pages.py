@@ -66,6 +66,7 @@ PAGED = [
     "src21_gif_all_frames",
     "src24_gif_frames",
     "src28_jpeg_segments",
+    "snk12_gif_padding",
 ]
 
 
