@@ -278,14 +278,21 @@ def _segment_sql(quality: int) -> str:
 
 @query("snk18_segments", _segment_sql(60))
 def snk18(spark: SparkSession, d: str) -> DataFrame:
-    """The bodies of a colour file's table and frame segments, in hexadecimal."""
+    """The bodies of a colour file's table and frame segments, in hexadecimal.
+
+    Of a raster in pages, equal tables count once and the frames' heights are added: over 65535 they take a fifth digit.
+    """
 
     @F.pandas_udf("array<struct<kind: string, body: string>>")
     def bodies(contents: pd.Series) -> pd.Series:
         return pd.Series([[(f"{m:02X}", body.hex()) for m, _, body in jpeg.segments(bytes(c)) if m in (0xDB, 0xC0, 0xC4)] for c in contents])
 
     files = images.encode(_opaque(spark, d), "jpeg", "rgba", RGBA, quality=60)
-    return files.select(F.explode(bodies("content")).alias("s")).select("s.kind", "s.body")
+    frame = F.col("kind") == "C0"
+    found = files.select("image_id", F.explode(bodies("content")).alias("s")).select("image_id", "s.kind", "s.body")
+    cut = found.select("image_id", "kind", F.when(frame, F.conv(F.substring("body", 3, 4), 16, 10).cast("long")).alias("high"), F.when(frame, F.substring("body", 1, 2)).otherwise("").alias("depth"), F.when(frame, F.expr("substring(body, 7)")).otherwise(F.col("body")).alias("rest"))
+    whole = cut.groupBy("image_id", "kind", "depth", "rest").agg(F.sum("high").alias("high"))
+    return whole.select("kind", F.concat("depth", F.when(frame, F.format_string("%04x", "high")).otherwise(""), "rest").alias("body"))
 
 
 # --- tiles and transforms -----------------------------------------------------------------------

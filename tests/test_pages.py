@@ -67,6 +67,7 @@ PAGED = [
     "src24_gif_frames",
     "src28_jpeg_segments",
     "snk12_gif_padding",
+    "snk18_segments",
 ]
 
 
