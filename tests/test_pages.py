@@ -68,6 +68,7 @@ PAGED = [
     "src28_jpeg_segments",
     "snk12_gif_padding",
     "snk18_segments",
+    "src05_configs",
 ]
 
 
