@@ -82,7 +82,7 @@ def _restarts(p: np.ndarray) -> bytes:
     return whole[:start] + _section(0xDD, struct.pack(">H", cols)) + whole[start : start + 10] + body + b"\xff\xd9"
 
 
-add("src38_jpeg_restarts", lambda s, d: _samples(_custom(fx.orders(s, d), ["g"], _restarts), 1), sql(q.GRAY_OUT, "px", extra=q.gray(95)))
+add("src38_jpeg_restarts", lambda s, d: _samples(_custom(fx.orders(s, d), ["g"], _restarts, "jpeg"), 1), sql(q.GRAY_OUT, "px", extra=q.gray(95)))
 
 
 def _progressive(refined: bool):

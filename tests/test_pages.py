@@ -71,6 +71,7 @@ PAGED = [
     "src05_configs",
     "src22_gif_header",
     "src26_jpeg_round_trip",
+    "src38_jpeg_restarts",
 ]
 
 
