@@ -154,8 +154,8 @@ def _progressive(refined: bool):
     return make
 
 
-add("src35_jpeg_refinement", lambda s, d: _samples(_custom(fx.orders(s, d), ["g"], _progressive(True)), 1), sql(q.GRAY_OUT, "px", extra=q.gray(90)))
-add("src36_jpeg_progressive", lambda s, d: _samples(_custom(fx.orders(s, d), ["g"], _progressive(False)), 1), sql(q.GRAY_OUT, "px", extra=q.gray(90)))
+add("src35_jpeg_refinement", lambda s, d: _samples(_custom(fx.orders(s, d), ["g"], _progressive(True), "jpeg"), 1), sql(q.GRAY_OUT, "px", extra=q.gray(90)))
+add("src36_jpeg_progressive", lambda s, d: _samples(_custom(fx.orders(s, d), ["g"], _progressive(False), "jpeg"), 1), sql(q.GRAY_OUT, "px", extra=q.gray(90)))
 
 
 def _components(names: bytes, factors: tuple[int, ...], adobe: int | None, quality: int = 100):

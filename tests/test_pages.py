@@ -72,6 +72,7 @@ PAGED = [
     "src22_gif_header",
     "src26_jpeg_round_trip",
     "src38_jpeg_restarts",
+    "src35_jpeg_refinement",
 ]
 
 
