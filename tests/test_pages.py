@@ -73,6 +73,7 @@ PAGED = [
     "src26_jpeg_round_trip",
     "src38_jpeg_restarts",
     "src35_jpeg_refinement",
+    "src26_jpeg_gray",
 ]
 
 
