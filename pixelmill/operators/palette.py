@@ -98,4 +98,4 @@ def indexed_by_image(image: DataFrame, palettes: DataFrame) -> DataFrame:
 
     entries = palettes.select("image_id", num("idx").alias("idx"), *(num(c).alias(c) for c in "rgba"))
     table = cells.groupBy("image_id").cogroup(entries.groupBy("image_id")).applyInArrow(find, "image_id long, cell long, idx long")
-    return placed.join(table, ["image_id", "cell"]).select(*KEYS, "idx")
+    return placed.join(table.hint("merge"), ["image_id", "cell"]).select(*KEYS, "idx")  # the table grows with the images, so it never goes to the driver

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pixelmill.functions.geometry import Rect
 from pixelmill.operators import draw, palette, quantize, raster
@@ -182,3 +183,12 @@ def test_rectangle_joins_at_all_sizes(spark):
     points = [(0, rng.randrange(-320, 320), rng.randrange(-320, 320)) for _ in range(200)]
     placed = raster.in_boxes(spark.createDataFrame(points, "image_id long, x long, y long"), df)
     assert sorted((r["x"], r["y"], r["id"]) for r in placed.collect()) == sorted((x, y, b[0]) for _, x, y in points for b in full if b[1] <= x < b[3] and b[2] <= y < b[4])
+
+
+def test_cells_of_many_images_stay_off_the_driver(spark):
+    px = spark.range(20000).select((F.col("id") % 10).alias("image_id"), F.col("id").alias("x"), F.lit(0).cast("long").alias("y"), *((F.col("id") * k % 65536).alias(c) for c, k in zip("rgb", (7, 11, 13))), F.lit(65535).cast("long").alias("a"))
+    table = spark.range(20).select(F.floor(F.col("id") / 2).alias("image_id"), (F.col("id") % 2).alias("idx"), *((F.col("id") % 2 * 255).alias(c) for c in "rgb"), F.lit(255).cast("long").alias("a"))
+    out = palette.indexed_by_image(px, table)
+    assert len(out.collect()) == 20000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan.split("Initial Plan")[0]
