@@ -74,6 +74,7 @@ PAGED = [
     "src38_jpeg_restarts",
     "src35_jpeg_refinement",
     "src26_jpeg_gray",
+    "src33_jpeg_flex",
 ]
 
 
