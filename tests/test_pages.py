@@ -75,6 +75,7 @@ PAGED = [
     "src35_jpeg_refinement",
     "src26_jpeg_gray",
     "src33_jpeg_flex",
+    "snk14_jpeg_quality",
 ]
 
 
