@@ -76,6 +76,7 @@ PAGED = [
     "src26_jpeg_gray",
     "src33_jpeg_flex",
     "snk14_jpeg_quality",
+    "src04_decode",
 ]
 
 
