@@ -77,6 +77,7 @@ PAGED = [
     "src33_jpeg_flex",
     "snk14_jpeg_quality",
     "src04_decode",
+    "src33_jpeg_411",
 ]
 
 
