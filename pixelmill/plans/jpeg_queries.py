@@ -193,8 +193,8 @@ def _own(files: DataFrame, n: int) -> DataFrame:
 
 
 _SAME = [f"s{k}.c AS c{k + 1}" for k in range(3)]
-add("src39_jpeg_rgb", lambda s, d: _own(_custom(_opaque(s, d), ["r", "g", "b"], _components(b"RGB", (1, 1, 1), None)), 3), _components_sql("rgb", (1, 1, 1), ["'rgba' AS model", *_SAME]))
-add("src40_jpeg_cmyk", lambda s, d: _own(_custom(_opaque(s, d), RGBA, _components(b"CMYK", (1, 1, 1, 1), 0)), 4), _components_sql("rgba", (1, 1, 1, 1), ["'cmyk' AS model", *(f"255 - s{k}.c AS c{k + 1}" for k in range(4))]).replace("a AS c FROM px", "255 AS c FROM px"))
+add("src39_jpeg_rgb", lambda s, d: _own(_custom(_opaque(s, d), ["r", "g", "b"], _components(b"RGB", (1, 1, 1), None), "jpeg"), 3), _components_sql("rgb", (1, 1, 1), ["'rgba' AS model", *_SAME]))
+add("src40_jpeg_cmyk", lambda s, d: _own(_custom(_opaque(s, d), RGBA, _components(b"CMYK", (1, 1, 1, 1), 0), "jpeg"), 4), _components_sql("rgba", (1, 1, 1, 1), ["'cmyk' AS model", *(f"255 - s{k}.c AS c{k + 1}" for k in range(4))]).replace("a AS c FROM px", "255 AS c FROM px"))
 for _name, _factors in (("422", (2, 1, 1)), ("411", (4, 1, 1)), ("flex", (1, 2, 4))):
     add(f"src33_jpeg_{_name}", lambda s, d, f=_factors: _own(_custom(_opaque(s, d), ["g", "r", "b"], _components(b"\1\2\3", f, None), "jpeg"), 3), _components_sql("grb", _factors, ["'ycbcr' AS model", *_SAME]))
 

@@ -78,6 +78,11 @@ PAGED = [
     "snk14_jpeg_quality",
     "src04_decode",
     "src33_jpeg_411",
+    "src39_jpeg_rgb",
+    "src29_jpeg_config",
+    "src33_jpeg_422",
+    "src36_jpeg_progressive",
+    "src40_jpeg_cmyk",
 ]
 
 
