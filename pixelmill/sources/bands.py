@@ -79,6 +79,23 @@ def runs(pixels: DataFrame, channels: list[str], model: str, rows: int | None =
     return pixels.select(F.col("image_id").cast("long").alias("image_id"), place.alias("place"), value.alias("value")).mapInArrow(pack, RUNS)
 
 
+def gathered(pixels: DataFrame, channels: list[str], model: str, rows: int = ROWS) -> DataFrame:
+    """:func:`runs` with one run a row, for tasks that hold a whole image: pixels in no order would be runs of one pixel there.
+
+    Bands are put together first, each in a task of its own; pixels that a band's smallest rectangle misses are 0.
+    """
+
+    def whole(table: pa.Table) -> pa.Table:
+        x, y, samples = assembled(table, len(channels), model)
+        (high, wide), image, band = samples.shape[:2], table["image_id"][0].as_py(), table["band"][0].as_py()
+        ends = (np.arange(high + 1) * (wide * len(channels) * samples.itemsize)).astype(np.int32)
+        data = pa.Array.from_buffers(pa.binary(), high, [None, pa.py_buffer(ends), pa.py_buffer(samples.tobytes())])
+        own = {"image_id": np.full(high, image), "band": np.full(high, band), "y": y + np.arange(high), "x": np.full(high, x)}
+        return pa.table({**{k: pa.array(v, pa.int64()) for k, v in own.items()}, "n": pa.array(np.full(high, wide, np.int32)), "data": data})
+
+    return runs(pixels, channels, model, rows).groupBy("image_id", "band").applyInArrow(whole, RUNS)
+
+
 def assembled(table: pa.Table, channels: int, model: str) -> tuple[int, int, np.ndarray]:
     """(x, y, samples) of the smallest rectangle that holds the runs; pixels that are missing are 0."""
     x, y, n = (table[c].to_numpy().astype(np.int64) for c in ("x", "y", "n"))

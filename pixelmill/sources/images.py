@@ -216,7 +216,7 @@ def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette
     A gif or jpeg of over 65535 rows isn't possible: such an image becomes pages, each with its first row as ``top``.
 
     gif, png and bmp are coded in bands of rows, each in a task of its own.  A jpeg's blocks are
-    coded one after the other, so its packed runs meet in one task.  gif takes paletted pixels
+    coded one after the other, so its rows meet in one task.  gif takes paletted pixels
     with ``palette`` (n, 3 or 4 bytes); without ``compress`` its codes are made in one pass.
     """
     if fmt in ("gif", "png", "bmp"):
@@ -230,7 +230,7 @@ def encode(pixels: DataFrame, fmt: str, model: str, channels: list[str], palette
         samples = bands.assembled(table, len(channels), model)[2]
         return bands.files(table["image_id"][0].as_py(), [(a, jpeg.encode(Raster(model, samples[a:b], palette), quality)) for a, b in bands.cut(len(samples), limit)])
 
-    return bands.runs(pixels, channels, model, None).groupBy("image_id").applyInArrow(write, bands.FILES)
+    return bands.gathered(pixels, channels, model).groupBy("image_id").applyInArrow(write, bands.FILES)
 
 
 def encode_gif(indexed: DataFrame, palettes_by_image: DataFrame) -> DataFrame:

@@ -49,6 +49,20 @@ def test_high_jpeg(spark):
     assert [(r["width"], r["height"]) for r in images.configs(files).collect()] == [(1, 66000)]
 
 
+def test_rows_reach_one_task_whole(spark):
+    """Pixels in no order are runs of one pixel; a task with the whole image gets one run a row instead."""
+    px = column(spark, 200, 50).orderBy(F.xxhash64("x", "y"))
+    got = bands.gathered(px, ["g"], "gray")
+    assert got.count() == 200
+    table = got.toArrow()
+    assert set(table["n"].to_pylist()) == {50}
+    assert (bands.assembled(table, 1, "gray")[2].ravel() == np.arange(10000) * 31 % 251).all()
+    some = px.where("not (y between 70 and 80 or (x < 9 and y > 130))")
+    sparse = bands.assembled(bands.gathered(some, ["g"], "gray").toArrow(), 1, "gray")
+    plain = bands.assembled(bands.runs(some, ["g"], "gray", None).toArrow(), 1, "gray")
+    assert sparse[:2] == plain[:2] and (sparse[2] == plain[2]).all()
+
+
 def test_pages_have_names_of_their_own(spark, tmp_path):
     datasource.write(column(spark, 66000, 1), str(tmp_path / "out"), "gif", "paletted", ["g"], GRAYS)
     assert sorted(os.listdir(tmp_path / "out")) == sorted(["7.gif", *(f"7-{k * bands.PAGE}.gif" for k in range(1, 5))])
