@@ -86,16 +86,21 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return parts
 
 
-def _log_share(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, own: np.ndarray):
-    """(log of the softmax at ``own``, exponentials, their row sums)."""
-    logit = h @ weights.T
-    logit += bias
+def _log_share(logit: np.ndarray, rows: np.ndarray, own: np.ndarray):
+    """(log of the softmax at ``own``, row sums of the exponentials); ``logit`` becomes the exponentials."""
     if len(logit) and (top := logit.max()) > 60:  # biases are logarithms of shares, so this is rare
         logit -= np.maximum(logit.max(axis=1, keepdims=True), top - 60)
     picked = logit[rows, own]
     np.exp(logit, out=logit)
     total = logit @ np.ones(logit.shape[1], logit.dtype)
-    return picked - np.log(np.maximum(total, np.float32(1e-37))), logit, total
+    return picked - np.log(np.maximum(total, np.float32(1e-37))), total
+
+
+def _to_softmax_loss(e: np.ndarray, total: np.ndarray, rows: np.ndarray, own: np.ndarray, scale) -> np.ndarray:
+    """``e``, the exponentials, made d loss / d logits in place."""
+    e *= (scale / total)[:, None]
+    e[rows, own] -= scale
+    return e
 
 
 class Network:
@@ -123,97 +128,120 @@ class Network:
         s = self.shape
         return np.where(inputs < s.words, inputs // s.in_class, inputs - s.words + s.words // s.in_class)
 
-    def step(self, h: np.ndarray, inputs: np.ndarray):
-        w, n = self.w, self.shape.hidden
-        a, g = w["x"][inputs], h @ w["u"]
-        a += w["g"]
-        zr = a[:, : 2 * n] + g[:, : 2 * n]
-        np.tanh(zr * np.float32(0.5), out=zr)  # a sigmoid is half of this, plus a half
-        zr *= np.float32(0.5)
-        zr += np.float32(0.5)
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
-        return c + z * (h - c), z, r, c, g[:, 2 * n :]
+    def run(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray):
+        """(states before each token, gates z, r and c, recurrent parts, state after) of a window; arrays of (time, hidden, lane).
+
+        ``h`` is (lane, hidden), inputs and fresh are (time, lane).  Lanes come last so that each gate's numbers lie together.
+        """
+        w, n, (steps, lanes) = self.w, self.shape.hidden, inputs.shape
+        half = np.repeat(np.array([0.5, 0.5, 1], w["u"].dtype), n)  # a sigmoid is half the tanh of the half, plus a half
+        gates = np.ascontiguousarray(((w["x"] + w["g"]) * half).take(inputs, axis=0).transpose(0, 2, 1))
+        u = np.ascontiguousarray((w["u"] * half).T)
+        states, parts = np.empty((steps, n, lanes), gates.dtype), np.empty((steps, 3 * n, lanes), gates.dtype)
+        h, starts, mid = np.ascontiguousarray(h.T, gates.dtype), fresh.any(axis=1).tolist(), gates.dtype.type(0.5)
+        for t in range(steps):
+            if starts[t]:
+                h = np.where(fresh[t], gates.dtype.type(0), h)
+            states[t] = h
+            g = np.matmul(u, h, out=parts[t])
+            zr, c = gates[t, : 2 * n], gates[t, 2 * n :]
+            zr += g[: 2 * n]
+            np.tanh(zr, out=zr)
+            zr *= mid
+            zr += mid
+            c += zr[n:] * g[2 * n :]
+            np.tanh(c, out=c)
+            h = h - c
+            h *= zr[:n]
+            h += c
+        return states, gates, parts[:, 2 * n :], h.T
 
     def outputs(self, states: np.ndarray, inputs: np.ndarray, grads: dict | None = None, scale: float = 1.0):
         """Natural log of P(token) of each row (in a rare class: of the class); with ``grads`` also d loss / d states."""
-        w, s = self.w, self.shape
+        w, s, n = self.w, self.shape, self.shape.hidden
         cls = self.classes_of(inputs)
         rows = np.arange(len(states))
-        out, e, total = _log_share(states, w["c"], w["cb"], rows, cls)
+        # a column of ones brings the biases and their gradients into the products
+        own = np.concatenate((states, np.ones((len(states), 1), states.dtype)), axis=1)
+        logit = own @ np.concatenate((w["c"], w["cb"][:, None]), axis=1).T
+        out, total = _log_share(logit, rows, cls)
         back = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            d *= scale
-            grads["c"] = d.T @ states
-            grads["cb"] = d.sum(axis=0)
+            d = _to_softmax_loss(logit, total, rows, cls, scale)
+            made = d.T @ own
+            grads["c"], grads["cb"] = made[:, :n], made[:, n]
             back = d @ w["c"]
-            grads["o"], grads["ob"] = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
         frequent = np.flatnonzero(inputs < s.words)
-        frequent = frequent[np.argsort(cls[frequent], kind="stable")]
-        edges = np.searchsorted(cls[frequent], np.arange(s.words // s.in_class + 1))
-        for k in range(s.words // s.in_class):
-            i = frequent[edges[k] : edges[k + 1]]
-            if not len(i):
-                continue
-            block = slice(k * s.in_class, (k + 1) * s.in_class)
-            h, own = states[i], inputs[i] - block.start
-            own_rows = rows[: len(i)]
-            share, e, total = _log_share(h, w["o"][block], w["ob"][block], own_rows, own)
-            out[i] += share
-            if grads is not None:
-                d = e / total[:, None]
-                d[own_rows, own] -= 1
-                d *= scale
-                grads["o"][block] = d.T @ h
-                grads["ob"][block] = d.sum(axis=0)
-                back[i] += d @ w["o"][block]
+        frequent = frequent[np.argsort(cls[frequent].astype(np.min_scalar_type(s.classes)), kind="stable")]
+        edges = np.searchsorted(cls[frequent], np.arange(s.words // s.in_class + 1)).tolist()
+        blocks = [(a, b, slice(k * s.in_class, (k + 1) * s.in_class)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        own, word, rows = own[frequent], inputs[frequent] % s.in_class, rows[: len(frequent)]
+        heads = np.concatenate((w["o"], w["ob"][:, None]), axis=1)
+        logit = np.empty((len(frequent), s.in_class), own.dtype)
+        for a, b, block in blocks:
+            np.matmul(own[a:b], heads[block].T, out=logit[a:b])
+        share, total = _log_share(logit, rows, word)
+        out[frequent] += share
+        if grads is not None:
+            d = _to_softmax_loss(logit, total, rows, word, scale)
+            made, more = np.zeros_like(heads), np.empty((len(frequent), n), own.dtype)
+            for a, b, block in blocks:
+                np.matmul(d[a:b].T, own[a:b], out=made[block])
+                np.matmul(d[a:b], w["o"][block], out=more[a:b])
+            grads["o"], grads["ob"] = made[:, :n], made[:, n]
+            back[frequent] += more
         return out, back
 
     def gradients(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, live: np.ndarray, scale: float):
         """(loss, gradients, state after) of a window; arrays of (time, lane). fresh: a document starts here."""
         w, n, (steps, lanes) = self.w, self.shape.hidden, inputs.shape
-        kept, states = [], np.empty((steps, lanes, n), np.float32)
-        for t in range(steps):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            states[t] = h
-            h, *rest = self.step(h, inputs[t])
-            kept.append(rest)
+        states, gates, parts, h = self.run(h, inputs, fresh)
         grads: dict = {}
-        flat = np.flatnonzero(live.ravel())
+        kind, names, flat = gates.dtype, inputs.ravel(), np.flatnonzero(live.ravel())
+        by_row = states.transpose(0, 2, 1).reshape(-1, n)
         # scale is that of a full window: one that few lanes still fill weighs as little
-        ll, back = self.outputs(states.reshape(-1, n)[flat], inputs.ravel()[flat], grads, np.float32(scale))
-        d_states = np.zeros((steps * lanes, n), np.float32)
+        ll, back = self.outputs(by_row[flat], names[flat], grads, kind.type(scale))
+        d_states = np.zeros((steps * lanes, n), kind)
         d_states[flat] = back
-        d_states = d_states.reshape(steps, lanes, n)
-        d_gates, d_rec, dh = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32), np.zeros((lanes, n), np.float32)
+        d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, n).transpose(0, 2, 1))
+        # each derivative is a factor known beforehand times that of the state after the token
+        z, r, c = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+        d_c = (1 - z) * (1 - c * c)
+        d_rec = np.empty((steps, 3, n, lanes), kind)
+        np.multiply((states - c) * z, 1 - z, out=d_rec[:, 0])
+        np.multiply(d_c, r, out=d_rec[:, 2])
+        np.multiply(d_rec[:, 2] * parts, 1 - r, out=d_rec[:, 1])
+        dh, through, starts = np.zeros((n, lanes), kind), np.empty((n, lanes), kind), fresh.any(axis=1).tolist()
         for t in range(steps - 1, -1, -1):
-            z, r, c, gc = kept[t]
-            d_c = (1 - z) * dh * (1 - c * c)
-            d_z = (states[t] - c) * dh * z * (1 - z)
-            d_r = d_c * gc * r * (1 - r)
-            d_gates[t] = np.concatenate((d_z, d_r, d_c), axis=1)
-            d_rec[t] = np.concatenate((d_z, d_r, d_c * r), axis=1)
-            dh = (z * dh + d_rec[t] @ w["u"].T + d_states[t]) * ~fresh[t][:, None]
-        grads["u"] = np.einsum("tln,tlm->nm", states, d_rec, optimize=True)
-        grads["g"] = d_gates.sum(axis=(0, 1))
-        order = np.argsort(inputs.ravel(), kind="stable")
-        names, heads = np.unique(inputs.ravel()[order], return_index=True)
-        grads["x"] = (names, np.add.reduceat(d_gates.reshape(-1, 3 * n)[order], heads, axis=0))
+            d_rec[t] *= dh
+            d_c[t] *= dh
+            dh *= z[t]
+            dh += np.matmul(w["u"], d_rec[t].reshape(3 * n, lanes), out=through)
+            dh += d_states[t]
+            if starts[t]:
+                dh *= ~fresh[t]
+        rows = d_rec.reshape(steps, 3 * n, lanes).transpose(0, 2, 1).reshape(-1, 3 * n)
+        grads["u"] = by_row.T @ rows
+        rows[:, 2 * n :] = d_c.transpose(0, 2, 1).reshape(-1, n)
+        grads["g"] = np.ones(len(rows), kind) @ rows
+        order = np.argsort(names.astype(np.min_scalar_type(len(w["x"]))), kind="stable")
+        names = names[order]
+        heads = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1))
+        grads["x"] = (names[heads], np.add.reduceat(rows[order], heads, axis=0))
         return -float(ll.sum()), grads, h
 
     def learn(self, grads: dict, sums: dict, rate: float) -> None:
         """One Adagrad step."""
         for k, g in grads.items():
+            rows, g = g if k == "x" else (slice(None), g)
+            some = sums[k][rows]
+            some += g * g
             if k == "x":
-                rows, g = g
-                sums[k][rows] += g * g
-                self.w[k][rows] -= rate * g / np.sqrt(sums[k][rows] + 1e-8)
-            else:
-                sums[k] += g * g
-                own = 0.1 * rate if k in ("cb", "ob") else rate  # they start where the counts put them
-                self.w[k] -= own * g / np.sqrt(sums[k] + 1e-8)
+                sums[k][rows] = some
+            step = np.sqrt(some + 1e-8)
+            np.divide(g, step, out=step)
+            step *= 0.1 * rate if k in ("cb", "ob") else rate  # biases start where the counts put them
+            self.w[k][rows] -= step
 
     def packed(self) -> bytes:
         return np.concatenate([self.w[k].ravel() for k in sorted(self.w)]).astype("<f4").tobytes()
@@ -279,15 +307,10 @@ def score_documents(net: Network, documents: list[np.ndarray], lanes: int = 512,
     h = np.zeros((lanes, net.shape.hidden), np.float32)
     for a in range(0, len(x), window):
         b, busy = min(len(x), a + window), int((who[a] >= 0).sum())  # lanes that have ended are the last ones
-        states, h = np.empty((b - a, busy, net.shape.hidden), np.float32), h[:busy]
-        for t in range(a, b):
-            if fresh[t, :busy].any():
-                h[fresh[t, :busy]] = 0
-            states[t - a] = h
-            h = net.step(h, x[t, :busy])[0]
+        states, _, _, h = net.run(h[:busy], x[a:b, :busy], fresh[a:b, :busy])
         owner = who[a:b, :busy].ravel()
         live = np.flatnonzero(owner >= 0)
-        ll, _ = net.outputs(states.reshape(-1, net.shape.hidden)[live], x[a:b, :busy].ravel()[live])
+        ll, _ = net.outputs(states.transpose(0, 2, 1).reshape(-1, net.shape.hidden)[live], x[a:b, :busy].ravel()[live])
         out += np.bincount(owner[live], ll.astype(np.float64), len(documents))
     return out
 

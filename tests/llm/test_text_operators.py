@@ -466,6 +466,26 @@ def test_a_very_long_document_among_short_ones():
     assert sum(map(len, [*full, *pools.rest()])) == 512 and pools.rest() == []
 
 
+def test_a_window_runs_like_its_tokens_one_by_one():
+    """States, gates and the state after, with documents that start inside the window."""
+    net = gru_lm.Network(gru_lm.Vocabulary([b"", b"a", b"b", b"c"], [4, 3, 2, 1], 10, 4, [1, 2, 3], gru_lm.Shape(4, 8, 4, 3)))
+    rng = np.random.default_rng(2)
+    w = net.w = {k: x.astype(np.float64) + rng.normal(0, 0.5, x.shape) for k, x in net.w.items()}
+    x, fresh, first = rng.integers(0, 11, (6, 5)), rng.random((6, 5)) < 0.2, rng.normal(0, 0.5, (5, 4))
+    states, gates, _, after = net.run(first, x, fresh)
+    for lane in range(5):
+        h = first[lane]
+        for t in range(6):
+            h = np.zeros(4) if fresh[t, lane] else h
+            assert np.allclose(states[t, :, lane], h)
+            a, u = w["x"][x[t, lane]] + w["g"], h @ w["u"]
+            z, r = (1 / (1 + np.exp(-(a[k : k + 4] + u[k : k + 4]))) for k in (0, 4))
+            c = np.tanh(a[8:] + r * u[8:])
+            assert np.allclose(gates[t, :, lane], np.concatenate((z, r, c)))
+            h = z * h + (1 - z) * c
+        assert np.allclose(after[lane], h)
+
+
 def test_gradients():
     v = gru_lm.Vocabulary([b"", b"a", b"b", b"c"], [4, 3, 2, 1], 10, 4, [1, 2, 3], gru_lm.Shape(4, 8, 4, 3))
     net, rng = gru_lm.Network(v), np.random.default_rng(0)
