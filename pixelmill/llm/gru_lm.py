@@ -4,8 +4,9 @@ Every word belongs to a class.  Frequent words have classes of their own and a s
 all others, unseen ones included, fall into classes by their first two bytes, inside which they
 follow their counts.  P(word) = P(class | state) P(word | class, state); biases start at the
 logarithms of the corpus' counts, so the untrained network is the smoothed unigram model.
-Training is truncated backpropagation over windows of streams of whole documents; scoring
-carries the state over windows from a document's first word to its end.
+Training is truncated backpropagation over windows of all training documents laid end to end in
+lanes of equal length; scoring carries the state over windows from a document's first word to its
+end.  Texts are split, looked up and counted as Arrow arrays.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import heapq
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,31 +54,32 @@ class Vocabulary:
         self.index = None
 
     def __getstate__(self):
-        return self.__dict__ | {"index": None, "prefix": None}
+        return self.__dict__ | {"index": None, "frequent": None, "rare_of": None}
 
     def ready(self) -> None:
         if self.index is None:
-            self.index = {w: i for i, w in enumerate(self.words)}
-            self.rare_of = np.array([zlib.crc32(w[:2]) % self.shape.rare for w in self.words], np.int32)
-            self.prefix = {}
-
-    def encode(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(input number, place in the list or -1, words that aren't in the list) of tokens."""
-        got = self.index.get
-        at = np.fromiter(map(got, tokens, repeat(-1)), np.int32, len(tokens))
-        inputs = np.where(at >= 0, at, 0)
-        rare = inputs >= self.shape.words
-        inputs[rare] = self.shape.words + self.rare_of[inputs[rare]]
-        missing, lost = np.flatnonzero(at < 0), []
-        for i in missing.tolist():
-            t = tokens[i]
-            lost.append(t)
-            p = t[:2]
-            c = self.prefix.get(p)
-            if c is None:
-                c = self.prefix[p] = self.shape.words + zlib.crc32(p) % self.shape.rare
-            inputs[i] = c
-        return inputs, at, lost
+            self.index = pa.array(self.words, pa.binary())
+            self.frequent = self.index[: self.shape.words]
+            first = [bytes(p) for p in np.arange(1 << 16, dtype=">u2").view("S1").reshape(-1, 2).view(np.uint8)]
+            self.rare_of = np.array([zlib.crc32(p) % self.shape.rare for p in [*first, *(bytes([k]) for k in range(256)), END]], np.int32)
+
+    def encode(self, tokens: pa.Array, listed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(input number, place in the list or -1) of binary tokens; places of frequent words alone unless ``listed``."""
+        at = pc.fill_null(pc.index_in(tokens, value_set=self.index if listed else self.frequent), -1).to_numpy()
+        inputs, rare = at.copy(), np.flatnonzero((at < 0) | (at >= self.shape.words))
+        if len(rare):
+            inputs[rare] = self.shape.words + self.rare_of[_first_two(tokens)[rare]]
+        return inputs, at
+
+
+def _first_two(tokens: pa.Array) -> np.ndarray:
+    """The first two bytes of each token as a number; tokens of one byte, then the empty one, come after all of two."""
+    edges = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1]
+    starts, sizes = edges[:-1], np.diff(edges)
+    data = np.frombuffer(tokens.buffers()[2] or b"", np.uint8)[: edges[-1]]
+    data = np.concatenate((data, np.zeros(2, np.uint8)))
+    first = data[starts].astype(np.int32)
+    return np.where(sizes > 1, first << 8 | data[starts + 1], np.where(sizes == 1, first + (1 << 16), (1 << 16) + 256))
 
 
 def tokens_of(text: bytes | None) -> list[bytes]:
@@ -86,6 +89,22 @@ def tokens_of(text: bytes | None) -> list[bytes]:
     return parts
 
 
+def tokens_in(texts: pa.Array, most: int = 1 << 23) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """What ``tokens_of`` gives for each text of a binary array, some ``most`` bytes at a time: (edges, tokens); text i has tokens edges[i] to edges[i + 1]."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64))
+    large = pa.types.is_large_binary(texts.type)  # a cast of slices of these gives wrong bytes (pyarrow 23), one of copies doesn't
+    cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(texts)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        # ASCII functions don't look at other bytes, so these needn't be UTF-8; the space makes the end, an empty token
+        some = pc.fill_null(texts.take(pa.array(range(a, b))).cast(pa.binary()) if large else texts[a:b], b"").view(pa.string())
+        some = pc.ascii_trim_whitespace(pc.ascii_lower(some))
+        some = pc.if_else(pc.equal(pc.binary_length(some), 0), some, pc.binary_join_element_wise(some, "", " "))
+        lists = pc.ascii_split_whitespace(some)
+        yield lists.offsets.to_numpy(), lists.values.view(pa.binary())
+
+
 def _log_share(logit: np.ndarray, rows: np.ndarray, own: np.ndarray):
     """(log of the softmax at ``own``, row sums of the exponentials); ``logit`` becomes the exponentials."""
     if len(logit) and (top := logit.max()) > 60:  # biases are logarithms of shares, so this is rare
@@ -128,33 +147,41 @@ class Network:
         s = self.shape
         return np.where(inputs < s.words, inputs // s.in_class, inputs - s.words + s.words // s.in_class)
 
-    def run(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray):
+    def table(self) -> np.ndarray:
+        """Each input's part of the gates with the biases; halved for z and r, since a sigmoid is half the tanh of the half, plus a half."""
+        made = self.w["x"] + self.w["g"]
+        made[:, : 2 * self.shape.hidden] *= 0.5
+        return made
+
+    def run(self, h: np.ndarray, inputs: np.ndarray, fresh: np.ndarray, table: np.ndarray | None = None):
         """(states before each token, gates z, r and c, recurrent parts, state after) of a window; arrays of (time, hidden, lane).
 
         ``h`` is (lane, hidden), inputs and fresh are (time, lane).  Lanes come last so that each gate's numbers lie together.
         """
         w, n, (steps, lanes) = self.w, self.shape.hidden, inputs.shape
-        half = np.repeat(np.array([0.5, 0.5, 1], w["u"].dtype), n)  # a sigmoid is half the tanh of the half, plus a half
-        gates = np.ascontiguousarray(((w["x"] + w["g"]) * half).take(inputs, axis=0).transpose(0, 2, 1))
-        u = np.ascontiguousarray((w["u"] * half).T)
-        states, parts = np.empty((steps, n, lanes), gates.dtype), np.empty((steps, 3 * n, lanes), gates.dtype)
-        h, starts, mid = np.ascontiguousarray(h.T, gates.dtype), fresh.any(axis=1).tolist(), gates.dtype.type(0.5)
-        for t in range(steps):
+        table = self.table() if table is None else table
+        gates = np.ascontiguousarray(table.take(inputs, axis=0).transpose(0, 2, 1))
+        kind, u = gates.dtype, np.ascontiguousarray(w["u"].T)
+        u[: 2 * n] *= 0.5
+        states, parts = np.empty((steps + 1, n, lanes), kind), np.empty((steps, 3 * n, lanes), kind)
+        states[0] = h.T
+        starts, mid, inner = fresh.any(axis=1).tolist(), kind.type(0.5), np.empty((n, lanes), kind)
+        for t, (h, after, gate, part) in enumerate(zip(states, states[1:], gates, parts)):
             if starts[t]:
-                h = np.where(fresh[t], gates.dtype.type(0), h)
-            states[t] = h
-            g = np.matmul(u, h, out=parts[t])
-            zr, c = gates[t, : 2 * n], gates[t, 2 * n :]
-            zr += g[: 2 * n]
+                h *= ~fresh[t]
+            zr, c = gate[: 2 * n], gate[2 * n :]
+            np.matmul(u, h, out=part)
+            zr += part[: 2 * n]
             np.tanh(zr, out=zr)
             zr *= mid
             zr += mid
-            c += zr[n:] * g[2 * n :]
+            np.multiply(zr[n:], part[2 * n :], out=inner)
+            c += inner
             np.tanh(c, out=c)
-            h = h - c
-            h *= zr[:n]
-            h += c
-        return states, gates, parts[:, 2 * n :], h.T
+            np.subtract(h, c, out=after)
+            after *= zr[:n]
+            after += c
+        return states[:-1], gates, parts[:, 2 * n :], states[-1].T
 
     def outputs(self, states: np.ndarray, inputs: np.ndarray, grads: dict | None = None, scale: float = 1.0):
         """Natural log of P(token) of each row (in a rare class: of the class); with ``grads`` also d loss / d states."""
@@ -168,7 +195,7 @@ class Network:
         back = None
         if grads is not None:
             d = _to_softmax_loss(logit, total, rows, cls, scale)
-            made = d.T @ own
+            made = (own.T @ d).T
             grads["c"], grads["cb"] = made[:, :n], made[:, n]
             back = d @ w["c"]
         frequent = np.flatnonzero(inputs < s.words)
@@ -201,33 +228,45 @@ class Network:
         by_row = states.transpose(0, 2, 1).reshape(-1, n)
         # scale is that of a full window: one that few lanes still fill weighs as little
         ll, back = self.outputs(by_row[flat], names[flat], grads, kind.type(scale))
-        d_states = np.zeros((steps * lanes, n), kind)
-        d_states[flat] = back
-        d_states = np.ascontiguousarray(d_states.reshape(steps, lanes, n).transpose(0, 2, 1))
-        # each derivative is a factor known beforehand times that of the state after the token
-        z, r, c = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
-        d_c = (1 - z) * (1 - c * c)
-        d_rec = np.empty((steps, 3, n, lanes), kind)
-        np.multiply((states - c) * z, 1 - z, out=d_rec[:, 0])
-        np.multiply(d_c, r, out=d_rec[:, 2])
-        np.multiply(d_rec[:, 2] * parts, 1 - r, out=d_rec[:, 1])
+        if len(flat) < len(names):
+            d_states = np.zeros((steps * lanes, n), kind)
+            d_states[flat] = back
+            back = d_states
+        d_states = np.ascontiguousarray(back.reshape(steps, lanes, n).transpose(0, 2, 1))
+        # each derivative is a factor known beforehand times that of the state after the token: by the sums
+        # inside c, z and r, and by c's recurrent part; what u made lies together, what x made, too
+        z, r, c, rest = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :], 1 - gates[:, :n]
+        d = np.empty((steps, 4, n, lanes), kind)
+        by_c, by_z, by_r, by_part = d.transpose(1, 0, 2, 3)
+        np.multiply(c, c, out=by_c)
+        np.subtract(1, by_c, out=by_c)
+        by_c *= rest
+        np.subtract(states, c, out=by_z)
+        by_z *= z
+        by_z *= rest
+        np.multiply(by_c, r, out=by_part)
+        np.subtract(1, r, out=by_r)
+        by_r *= parts
+        by_r *= by_part
         dh, through, starts = np.zeros((n, lanes), kind), np.empty((n, lanes), kind), fresh.any(axis=1).tolist()
-        for t in range(steps - 1, -1, -1):
-            d_rec[t] *= dh
-            d_c[t] *= dh
-            dh *= z[t]
-            dh += np.matmul(w["u"], d_rec[t].reshape(3 * n, lanes), out=through)
-            dh += d_states[t]
+        d_all = d.reshape(steps, 4 * n, lanes)
+        for t, own, recurrent, kept, more in zip(range(steps - 1, -1, -1), d[::-1], d_all[::-1, n:], z[::-1], d_states[::-1]):
+            own *= dh
+            dh *= kept
+            dh += np.matmul(w["u"], recurrent, out=through)
+            dh += more
             if starts[t]:
                 dh *= ~fresh[t]
-        rows = d_rec.reshape(steps, 3 * n, lanes).transpose(0, 2, 1).reshape(-1, 3 * n)
-        grads["u"] = by_row.T @ rows
-        rows[:, 2 * n :] = d_c.transpose(0, 2, 1).reshape(-1, n)
-        grads["g"] = np.ones(len(rows), kind) @ rows
+        rows = d_all.transpose(0, 2, 1).reshape(-1, 4 * n)
+        grads["u"] = by_row.T @ rows[:, n:]
         order = np.argsort(names.astype(np.min_scalar_type(len(w["x"]))), kind="stable")
         names = names[order]
         heads = np.concatenate(([0], np.flatnonzero(names[1:] != names[:-1]) + 1))
-        grads["x"] = (names[heads], np.add.reduceat(rows[order], heads, axis=0))
+        # summed two by two, as parts of complex numbers: half as many additions
+        pairs = rows.take(order, axis=0).view(np.result_type(kind, np.complex64))[:, : (3 * n + 1) // 2]
+        made = np.add.reduceat(pairs, heads, axis=0).view(kind)
+        made = np.concatenate((made[:, n : 3 * n], made[:, :n]), axis=1)
+        grads["x"], grads["g"] = (names[heads], made), made.sum(axis=0)
         return -float(ll.sum()), grads, h
 
     def learn(self, grads: dict, sums: dict, rate: float) -> None:
@@ -304,31 +343,39 @@ def score_documents(net: Network, documents: list[np.ndarray], lanes: int = 512,
     sizes = [len(d) for d in documents]
     lanes = max(1, min(lanes, len(documents), 4 * sum(sizes) // max(sizes)))  # lanes are as long as the longest document
     x, who, fresh = streams(documents, lanes)
-    h = np.zeros((lanes, net.shape.hidden), np.float32)
-    for a in range(0, len(x), window):
-        b, busy = min(len(x), a + window), int((who[a] >= 0).sum())  # lanes that have ended are the last ones
-        states, _, _, h = net.run(h[:busy], x[a:b, :busy], fresh[a:b, :busy])
+    h, table, a = np.zeros((lanes, net.shape.hidden), np.float32), net.table(), 0
+    while a < len(x):
+        busy = int((who[a] >= 0).sum())  # lanes that have ended are the last ones
+        b = min(len(x), a + max(window, 8192 // busy))
+        states, _, _, h = net.run(h[:busy], x[a:b, :busy], fresh[a:b, :busy], table)
         owner = who[a:b, :busy].ravel()
         live = np.flatnonzero(owner >= 0)
         ll, _ = net.outputs(states.transpose(0, 2, 1).reshape(-1, net.shape.hidden)[live], x[a:b, :busy].ravel()[live])
         out += np.bincount(owner[live], ll.astype(np.float64), len(documents))
+        a = b
     return out
 
 
 def train_documents(net: Network, sums: dict, documents: list[np.ndarray], lanes: int, window: int, rate: float) -> int:
-    """Truncated backpropagation over all windows of the documents' streams; the state is carried on. Returns tokens."""
+    """Truncated backpropagation over all windows of the documents laid end to end in equal lanes; the state is carried on. Returns tokens.
+
+    A document that crosses the end of its lane goes on at the start of the next from no state, so that every window but the last is full.
+    """
     if not documents:
         return 0
-    sizes = [len(d) for d in documents]
-    lanes = max(1, min(lanes, len(documents), max(4, sum(sizes) // max(sizes))))  # else one long document has the last windows alone
-    x, who, fresh = streams(documents, lanes)
+    flat, starts = np.concatenate(documents), np.cumsum([0, *map(len, documents[:-1])])
+    n = len(flat)
+    lanes = max(1, min(lanes, n // (16 * window)))  # a lane has 16 windows at least: few documents cross, few tokens still make some steps
+    steps = -(-n // lanes)
+    x, fresh = np.zeros(lanes * steps, np.int64), np.zeros(lanes * steps, bool)
+    x[:n], fresh[starts] = flat, True
+    x, fresh, live = (a.reshape(lanes, steps).T.copy() for a in (x, fresh, np.arange(lanes * steps) < n))
     h = np.zeros((lanes, net.shape.hidden), np.float32)
-    for a in range(0, len(x), window):
-        busy = int((who[a] >= 0).sum())
-        live = who[a : a + window, :busy] >= 0
-        _, grads, h = net.gradients(h[:busy], x[a : a + window, :busy], fresh[a : a + window, :busy], live, 1 / (window * lanes))
+    for a in range(0, steps, window):
+        b = a + window
+        _, grads, h = net.gradients(h, x[a:b], fresh[a:b], live[a:b], 1 / (window * lanes))
         net.learn(grads, sums, rate)
-    return int((who >= 0).sum())
+    return n
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -337,22 +384,21 @@ def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
 
 
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
-    """(word binary, n long) of all tokens of all texts given, summed per task first."""
+    """(word binary, n long) of all tokens of all texts given, summed over some four million tokens of a task first."""
 
     def tally(batches):
-        held: Counter = Counter()
+        held: list[pa.Array] = []
 
         def out():
-            words = list(held)
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.binary()), pa.array([held[w] for w in some], pa.int64())], names=["word", "n"])
+            words, counts = pc.value_counts(pa.chunked_array(held, pa.binary())).flatten()
             held.clear()
+            for at in range(0, len(words), 50_000):
+                yield pa.RecordBatch.from_arrays([words[at : at + 50_000], counts[at : at + 50_000]], names=["word", "n"])
 
         for b in batches:
-            for t in b.column(0):
-                held.update(tokens_of(t.as_py()))
-                if len(held) > 300_000:
+            for _, tokens in tokens_in(b.column(0)):
+                held.append(tokens)
+                if sum(map(len, held)) > 4_000_000:
                     yield from out()
         yield from out()
 
@@ -416,13 +462,16 @@ def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: in
             own = Network(v)
             own.unpack(start.value)
             sums = {key: np.full_like(x, 1e-3) for key, x in own.w.items()}
-            pools, n = Pools(100_000, lanes), 0
+            held, size, n = [], 0, 0
             for b in batches:
-                for t in b.column(0):
-                    x = v.encode(tokens_of(t.as_py()))[0]
-                    if full := pools.add(x, len(x)):
-                        n += train_documents(own, sums, full, lanes, window, rate)
-            n += train_documents(own, sums, [x for p in pools.rest() for x in p], lanes, window, rate)
+                for edges, tokens in tokens_in(b.column(0)):
+                    for x in np.split(v.encode(tokens, listed=False)[0], edges[1:-1]):
+                        held.append(x)
+                        size += len(x)
+                        if size > 100_000:
+                            n += train_documents(own, sums, held, lanes, window, rate)
+                            held, size = [], 0
+            n += train_documents(own, sums, held, lanes, window, rate)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64()), pa.array([own.packed()], pa.binary())], names=["part", "n", "w"])
 
@@ -436,14 +485,14 @@ def train(docs: DataFrame, vocab: Vocabulary, doc_id: str, text: str, rounds: in
         steps = [old.tobytes(), ((old + new) / 2).astype("<f4").tobytes(), data]
         slice_ = F.pmod(F.xxhash64(F.col(doc_id), F.col(text), F.lit(k)), F.lit(64)) == 0
         for rated in (docs.where(~mine & slice_), docs.where(~mine), docs):
-            if (best := _best(rated, text, words, steps)) is not None:
+            if (best := _best(rated, text, words, steps, 1 + vocab.total // (64 * task_tokens))) is not None:
                 break
         net.unpack(steps[best])
     return net
 
 
-def _best(docs: DataFrame, text: str, words, candidates: list[bytes]) -> int | None:
-    """The packed weights under which the documents are the most probable; None without documents."""
+def _best(docs: DataFrame, text: str, words, candidates: list[bytes], tasks: int) -> int | None:
+    """The packed weights under which the documents, dealt to so many tasks, are the most probable; None without documents."""
     shipped = docs.sparkSession.sparkContext.broadcast(candidates)
 
     def rate(batches):
@@ -454,16 +503,18 @@ def _best(docs: DataFrame, text: str, words, candidates: list[bytes]) -> int | N
             nets.append(Network(v))
             nets[-1].unpack(data)
         for b in batches:
-            for t in b.column(0):
-                x, some = v.encode(tokens_of(t.as_py()))[0], True
-                if full := pools.add(x, len(x)):
-                    sums = [s + score_documents(n, full).sum() for s, n in zip(sums, nets)]
+            for edges, tokens in tokens_in(b.column(0)):
+                some = True
+                for x in np.split(v.encode(tokens, listed=False)[0], edges[1:-1]):
+                    if full := pools.add(x, len(x)):
+                        sums = [s + score_documents(n, full).sum() for s, n in zip(sums, nets)]
         for left in pools.rest():
             sums = [s + score_documents(n, left).sum() for s, n in zip(sums, nets)]
         if some:
             yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "s"])
 
-    rows = docs.select(F.col(text).cast("binary").alias("t")).mapInArrow(rate, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+    some = docs.select(F.col(text).cast("binary").alias("t")).repartition(tasks)  # few: running in step, documents cost less together
+    rows = some.mapInArrow(rate, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
     return -max((r["s"], -r["k"]) for r in rows)[1] if rows else None
 
 
@@ -499,20 +550,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
 
         def out(waiting):
             nonlocal key
-            sums = score_documents(own, [w[2] for w in waiting]) / LN10
+            docs, helds, xs, knowns, bases, listeds, losts = zip(*waiting)
             n = len(waiting)
-            tails = [Counter(w[4]) for w in waiting]
+            tails = [Counter(t) for t in losts]
             offsets = np.concatenate(([0], np.cumsum([len(c) for c in tails])))
             tail = pa.StructArray.from_arrays([pa.array([x for c in tails for x in c], pa.binary()), pa.array([x for c in tails for x in c.values()], pa.int64())], names=["word", "k"])
-            base, score, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-            for i, (_, _, x, at, _) in enumerate(waiting):
-                listed = at >= 0
-                head = counts1[at[listed]]
-                known[i], base[i] = int(listed.sum()), head.sum() - len(x) * floor
-                rare = x[x >= shape.words] - shape.words
-                score[i] = sums[i] + head[at[listed] >= shape.words].sum() - rare_floor[rare].sum()
+            score = score_documents(own, list(xs)) / LN10 + np.array(listeds)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(key, key + n)), pa.array([w[0] for w in waiting], kinds[0]), pa.array([w[1] for w in waiting], pa.bool_()), pa.array([len(w[2]) for w in waiting], pa.int64()), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
+                [pa.array(np.arange(key, key + n)), pa.array(docs, kinds[0]), pa.array(helds, pa.bool_()), pa.array([len(x) for x in xs], pa.int64()), pa.array(knowns, pa.int64()), pa.array(bases, pa.float64()), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail)],
                 names=["r", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"],
             )
             key += n
@@ -520,10 +565,20 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
         kinds = None
         for b in batches:
             kinds = kinds or b.schema.types
-            for i, held, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                x, at, lost = v.encode(tokens_of(t.as_py()))
-                if full := pools.add((i, held, x, at, lost), len(x)):
-                    yield from out(full)
+            docs = zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            for edges, tokens in tokens_in(b.column(2)):
+                x, at = v.encode(tokens)
+                rare, missing, firsts = x >= shape.words, np.flatnonzero(at < 0), edges[:-1]
+                logs = np.where(at >= 0, counts1[at], 0.0)
+                known, base = np.add.reduceat(at >= 0, firsts, dtype=np.int64), np.add.reduceat(logs, firsts) - np.diff(edges) * floor
+                logs[~rare] = 0  # from here a rare word's share of its class, as far as its count is listed
+                logs[rare] -= rare_floor[x[rare] - shape.words]
+                inside = np.add.reduceat(logs, firsts).tolist()
+                lost, bounds = tokens.take(pa.array(missing)).to_pylist(), np.searchsorted(missing, edges).tolist()
+                edges = edges.tolist()
+                for a, z, p, q, *sums, (i, held) in zip(edges, edges[1:], bounds, bounds[1:], known.tolist(), base.tolist(), inside, docs):  # docs last: zip takes none too many
+                    if full := pools.add((i, held, x[a:z].copy(), *sums, lost[p:q]), z - a):
+                        yield from out(full)
         for left in pools.rest():
             yield from out(left)
 

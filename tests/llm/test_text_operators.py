@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 
@@ -466,6 +467,47 @@ def test_a_very_long_document_among_short_ones():
     assert sum(map(len, [*full, *pools.rest()])) == 512 and pools.rest() == []
 
 
+def test_training_windows_are_full(monkeypatch):
+    """One long document among short ones leaves no lanes idle; every token is learnt from once, in a document's order."""
+    shape = gru_lm.Shape(hidden=4, words=8, in_class=4, rare=2)
+    net = gru_lm.Network(gru_lm.Vocabulary([b"", b"a", b"b"], [9, 5, 2], 16, 3, [3, 3], shape))
+    rng, seen, plain = np.random.default_rng(4), [], gru_lm.Network.gradients
+    documents = [rng.integers(0, 10, n) for n in (*rng.integers(1, 40, 300).tolist(), 60_000, 1, 2_000)]
+
+    def watched(self, h, x, fresh, live, scale):
+        seen.append((x.copy(), fresh.copy(), live.copy()))
+        return plain(self, h, x, fresh, live, scale)
+
+    monkeypatch.setattr(gru_lm.Network, "gradients", watched)
+    tokens = sum(map(len, documents))
+    assert gru_lm.train_documents(net, {k: np.full_like(x, 1e-3) for k, x in net.w.items()}, documents, 64, 16, 0.1) == tokens
+    assert len(seen) <= -(-tokens // (64 * 16)) + 1
+    x, fresh, live = (np.concatenate(a).T.ravel() for a in zip(*seen))
+    assert np.array_equal(x[live], np.concatenate(documents))
+    assert np.array_equal(np.flatnonzero(fresh[live]), np.cumsum([0, *map(len, documents[:-1])]))
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_tokens_of_arrays_are_those_of_each_text(kind):
+    rng = random.Random(1)
+    odd = [b"", b" ", None, b" a  b\t\n", b"\x0ba\x0c", b"A\x00 \xff\xfe B", b"\x1c a\x85b \x1f", "\u00c9 x Y\u00a0z".encode(), b"\x00", b"aZ"]
+    odd += [bytes(rng.choice(b" \t\nabAB\xc3\xa9\x00\x85\xa0\x1c\x1d") for _ in range(rng.randrange(40))) for _ in range(1000)]
+    words = [b"", b"a", b"b", b"ab", "\u00e9".encode(), b"aa"]
+    v = gru_lm.Vocabulary(words, [9, 8, 7, 6, 5, 4], 39, 6, [1, 1, 1], gru_lm.Shape(4, 4, 2, 3))
+    v.ready()
+    for most in (1, 50, 1 << 23):
+        got = []
+        for edges, tokens in gru_lm.tokens_in(pa.array([b"cut off", *odd], kind)[1:], most):
+            plain = tokens.to_pylist()
+            got += [plain[a:b] for a, b in zip(edges, edges[1:])]
+            places = [words.index(t) if t in words else -1 for t in plain]
+            inputs, at = v.encode(tokens)
+            assert at.tolist() == places and inputs.tolist() == v.encode(tokens, listed=False)[0].tolist()
+            assert inputs.tolist() == [k if 0 <= k < 4 else 4 + zlib.crc32(t[:2]) % 3 for k, t in zip(places, plain)]
+        assert got == [gru_lm.tokens_of(t) for t in odd]
+    assert list(gru_lm.tokens_in(pa.array([], kind))) == []
+
+
 def test_a_window_runs_like_its_tokens_one_by_one():
     """States, gates and the state after, with documents that start inside the window."""
     net = gru_lm.Network(gru_lm.Vocabulary([b"", b"a", b"b", b"c"], [4, 3, 2, 1], 10, 4, [1, 2, 3], gru_lm.Shape(4, 8, 4, 3)))
